@@ -41,3 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread_out(df: DataFrame, key: str) -> DataFrame:
+    """df over at least three partitions per core, for work that is heavy per row; left alone if it has as many.
+
+    Large inputs come in enough partitions of their own, and are then not shuffled.
+    """
+    wanted = 3 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
