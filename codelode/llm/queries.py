@@ -67,7 +67,7 @@ def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_reasons, p6_found, p6_leaks, p7_copies, p7_shares, p8_found, p8_segments, p8_documents)}
 
 # What SQL can say of these: leaks are equal runs of words, found here by an equality join.
-_WORDS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), x -> lower(x))"
+_WORDS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda x: lower(x))"
 ORACLE = {
     "p6_found": f"""WITH d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM eval_items),
  iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, w[s : s + least(len(w), 13) - 1] AS win FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 13) + 1)) AS s FROM i WHERE len(w) > 0)),
