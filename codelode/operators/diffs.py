@@ -38,7 +38,7 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
 
     def number(group: int, other: str):
         passed = F.coalesce(F.sum(F.when((F.col("op") != "h") & (F.col("op") != other), 1).otherwise(0)).over(before), F.lit(0))
-        return F.when(F.col("op") == "h", None).otherwise(F.regexp_extract("_head", HUNK, group).try_cast("int") + passed)
+        return F.when(F.col("op").isin("h", other), None).otherwise(F.regexp_extract("_head", HUNK, group).try_cast("int") + passed)
 
     return lines.withColumn("old_line", number(1, "+")).withColumn("new_line", number(2, "-")).select("diff_id", "section", "pos", "text", "hunk", "old_line", "new_line", "op")
 

@@ -170,13 +170,24 @@ def list_projects(g):
 _CALLS = ", calls AS MATERIALIZED (SELECT r.id AS ref_id, r.to_symbol_name AS to_symbol, r.to_symbol_bare_name AS to_bare, r.kind AS ref_kind, r.line AS ref_line, r.col AS ref_col, p.name AS from_symbol, p.kind AS from_kind, p.file AS from_file, p.line_start AS from_line FROM g_refs r JOIN placed p ON p.id = r.from_symbol_id)"
 
 
-def _meets(name: str) -> str:
-    return f"(c.to_symbol = {name} OR c.to_bare = {name} OR starts_with({_fold('c.to_symbol')}, {_fold(name)} || '.'))"
+# Every reference under each name it meets: its full and bare name, and in lower case what comes before each dot.
+_KEYED = f"""{_CALLS}, dotted AS MATERIALIZED (SELECT *, string_split({_fold('to_symbol')}, '.') AS parts FROM calls WHERE contains(to_symbol, '.')),
+ keyed AS MATERIALIZED (SELECT *, 'e:' || unnest(list_distinct(list_filter([to_symbol, to_bare], lambda x: x IS NOT NULL))) AS key, CAST(NULL AS VARCHAR) AS but FROM calls
+  UNION ALL SELECT * EXCLUDE (parts), 'p:' || unnest(list_distinct(list_transform(range(1, len(parts)), lambda i: array_to_string(parts[1:i], '.')))) AS key, to_bare AS but FROM dotted)"""
+
+
+def _levels(roots: str, depth: int) -> str:
+    """SQL for ``chain``, with one row per path, level by level from the roots."""
+    out, asked = f"{_KEYED}, l0 AS MATERIALIZED (SELECT root, root AS from_symbol FROM ({roots}))", "l0"
+    for d in range(1, depth + 1):
+        wanted = f"SELECT root, from_symbol AS asked, unnest(['e:' || from_symbol, 'p:' || {_fold('from_symbol')}]) AS want FROM {asked}"
+        out += f", l{d} AS MATERIALIZED (SELECT w.root, k.*, {d} AS depth FROM ({wanted}) w JOIN keyed k ON k.key = w.want WHERE k.but IS NULL OR k.but <> w.asked)"
+        asked = f"l{d}"
+    return out + ", chain AS (" + " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(1, depth + 1)) + ")"
 
 
 def _chain(base: str, depth: int) -> str:
-    return f"""{_CALLS}, chain AS (SELECT '{base}' AS root, c.*, 1 AS depth FROM calls c WHERE {_meets(f"'{base}'")}
-  UNION ALL SELECT h.root, c.*, h.depth + 1 FROM chain h JOIN calls c ON {_meets('h.from_symbol')} WHERE h.depth < {depth})"""
+    return _levels(f"SELECT '{base}' AS root", depth)
 
 
 _REF = "ref_id, to_symbol, ref_kind, ref_line, ref_col, from_symbol, from_kind, from_file, from_line, depth"
@@ -217,9 +228,7 @@ def callers_dedup_by_depth(g):
 _ROOTS = "SELECT DISTINCT name AS root FROM g_symbols WHERE kind = 'interface'"
 
 
-@query(f"""{_CALLS}, roots AS ({_ROOTS}), chain AS (SELECT roots.root, c.from_symbol, 1 AS depth FROM roots JOIN calls c ON {_meets('roots.root')}
-  UNION ALL SELECT h.root, c.from_symbol, h.depth + 1 FROM chain h JOIN calls c ON {_meets('h.from_symbol')} WHERE h.depth < 2)
- SELECT root, depth, count(*) AS n_paths FROM chain GROUP BY 1, 2""")
+@query(f"{_levels(_ROOTS, 2)} SELECT root, depth, count(*) AS n_paths FROM chain GROUP BY 1, 2")
 def refs_multi_source(g):
     roots = g.symbols.where("kind = 'interface'").select(F.col("name").alias("root")).distinct()
     return closure.reference_closure(g, roots, 2).groupBy("root", "depth").agg(F.sum("paths").alias("n_paths"))
@@ -235,7 +244,7 @@ def _busiest(g: Graph) -> str:
 
 
 _CALLEES = f""", cl AS MATERIALIZED (SELECT r.id AS ref_id, s.name AS caller, r.to_symbol_name AS callee, r.to_symbol_bare_name AS callee_bare, r.kind AS ref_kind, r.line AS ref_line FROM g_refs r JOIN g_symbols s ON s.id = r.from_symbol_id WHERE r.kind IN ('call', 'instantiation')),
- chain AS (SELECT cl.*, 1 AS depth FROM cl WHERE caller = {_CALLER} UNION ALL SELECT c.*, h.depth + 1 FROM chain h JOIN cl c ON c.caller = h.callee OR c.caller = h.callee_bare WHERE h.depth < 2)"""
+ c1 AS MATERIALIZED (SELECT cl.*, 1 AS depth FROM cl WHERE caller = {_CALLER}), chain AS (SELECT * FROM c1 UNION ALL SELECT c.*, 2 FROM (SELECT unnest(list_distinct(list_filter([callee, callee_bare], lambda x: x IS NOT NULL))) AS want FROM c1) w JOIN cl c ON c.caller = w.want)"""
 
 
 @query(f"{_CALLEES} SELECT ref_id, caller, callee, callee_bare, ref_kind, ref_line, depth FROM chain ORDER BY depth, ref_line, callee, ref_id LIMIT 100")
@@ -249,8 +258,8 @@ def callees_dedup_by_depth(g):
     return closure.first_per_depth(rows, ["callee"], ["ref_line", "ref_id"]).select("depth", "callee", "ref_id")
 
 
-@query(f""", im AS MATERIALIZED (SELECT i.id AS import_id, f.path AS file, i.source_path AS source FROM g_imports i JOIN g_files f ON f.id = i.file_id),
- chain AS (SELECT im.*, 1 AS depth FROM im WHERE file = {_PATH} UNION ALL SELECT i.*, c.depth + 1 FROM chain c JOIN im i ON contains({_fold('i.file')}, {_fold('c.source')}) WHERE c.depth < 2)
+@query(f""", im AS MATERIALIZED (SELECT i.id AS import_id, f.path AS file, i.source_path AS source FROM g_imports i JOIN g_files f ON f.id = i.file_id), d1 AS MATERIALIZED (SELECT im.*, 1 AS depth FROM im WHERE file = {_PATH}),
+ chain AS (SELECT * FROM d1 UNION ALL SELECT i.*, 2 FROM d1 JOIN im i ON contains({_fold('i.file')}, {_fold('d1.source')}))
  SELECT import_id, file, source, depth FROM chain ORDER BY depth, file, source, import_id LIMIT 100""")
 def dependency_tree(g):
     return closure.dependency_closure(g, _largest(g), 2)
@@ -265,8 +274,8 @@ def symbols_in_range(g):
     return impact.symbols_in_ranges(g, ranges)
 
 
-_IMPACT = f"""{_CALLS}, hit AS (SELECT DISTINCT id, name, kind, file, line_start, line_end, is_exported FROM placed WHERE file = {_PATH} AND line_start <= 400 AND line_end >= 100), roots AS (SELECT DISTINCT name AS root FROM hit),
- chain AS (SELECT roots.root, c.from_symbol, c.from_file, 1 AS depth FROM roots JOIN calls c ON {_meets('roots.root')} UNION ALL SELECT h.root, c.from_symbol, c.from_file, h.depth + 1 FROM chain h JOIN calls c ON {_meets('h.from_symbol')} WHERE h.depth < 2)"""
+_HIT = f"SELECT DISTINCT id, name, kind, file, line_start, line_end, is_exported FROM placed WHERE file = {_PATH} AND line_start <= 400 AND line_end >= 100"
+_IMPACT = f"{_levels(f'SELECT DISTINCT name AS root FROM ({_HIT})', 2)}, hit AS ({_HIT})"
 
 
 @query(f"{_IMPACT} SELECT h.*, count(*) FILTER (c.depth = 1) AS direct, count(c.depth) AS total, count(DISTINCT c.from_file) AS n_files FROM hit h LEFT JOIN chain c ON c.root = h.name GROUP BY ALL")
@@ -333,10 +342,8 @@ def _diff_impact(spark: SparkSession, folder: str) -> DataFrame:
     return diffs.diff_impact(Graph.read(spark, folder), diff_affected_symbols(spark, folder), 1)
 
 
-_DIFF_IMPACT = f"""{_CALLS} {_AFFECTED}, keys AS (SELECT ref_id, from_symbol, from_file, unnest(list_distinct(list_filter([to_symbol, to_bare], lambda x: x IS NOT NULL))) AS key FROM calls),
- prefixed AS (SELECT ref_id, from_symbol, from_file, to_bare, unnest(list_distinct(list_transform(range(1, len(string_split({_fold('to_symbol')}, '.'))), lambda i: array_to_string(string_split({_fold('to_symbol')}, '.')[1:i], '.')))) AS key FROM calls WHERE contains(to_symbol, '.')),
- names AS (SELECT DISTINCT name FROM affected), reached AS (SELECT n.name, k.ref_id, k.from_symbol, k.from_file FROM names n JOIN keys k ON k.key = n.name UNION SELECT n.name, k.ref_id, k.from_symbol, k.from_file FROM names n JOIN prefixed k ON k.key = {_fold('n.name')}),
- counted AS (SELECT a.id, count(r.ref_id) AS total, count(DISTINCT r.from_file) AS n_files FROM (SELECT DISTINCT id, name, file FROM affected) a LEFT JOIN reached r ON r.name = a.name AND NOT (r.from_file = a.file AND r.from_symbol = a.name) GROUP BY 1),
+_DIFF_IMPACT = f"""{_AFFECTED} {_levels('SELECT DISTINCT name AS root FROM affected', 1)},
+ counted AS (SELECT a.id, count(r.ref_id) AS total, count(DISTINCT r.from_file) AS n_files FROM (SELECT DISTINCT id, name, file FROM affected) a LEFT JOIN chain r ON r.root = a.name AND NOT (r.from_file = a.file AND r.from_symbol = a.name) GROUP BY 1),
  judged AS (SELECT a.*, c.total AS direct, c.total, c.n_files, CASE WHEN a.change = 'removed' AND c.total > 0 THEN 'breaking' WHEN c.total > 5 THEN 'high' ELSE 'none' END AS risk FROM affected a JOIN counted c USING (id))"""
 
 
