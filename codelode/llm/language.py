@@ -170,12 +170,12 @@ class Automaton:
 
     def cost(self, text: str) -> float:
         """Bits per character when text is parsed greedily into the longest substrings of this text."""
-        after, state, phrases = self.next, 0, 1
+        after, state, phrases = self.next, -1, 0
         for c in text:
-            step = after[state].get(c)
+            step = after[state].get(c) if state >= 0 else None
             if step is None:
                 phrases += 1
-                step = after[0].get(c, 0)
+                step = after[0].get(c, -1)  # a character that never occurs is a phrase of its own
             state = step
         return phrases * self.bits / len(text)
 
