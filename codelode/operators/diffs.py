@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.operators.impact import dependents, impact_counts, symbols_in_ranges
+from codelode.operators.impact import dependents, impact_counts
 from codelode.sources.graph import Graph
 
 HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
@@ -100,5 +100,3 @@ def diff_impact(g: Graph, affected: DataFrame, depth: int = 2) -> DataFrame:
     risk = F.when((F.col("change") == "removed") & (F.col("total") > 0), "breaking").when(F.col("total") > HIGH_IMPACT, "high").otherwise("none")
     return affected.join(counts, "id").withColumn("risk", risk)
 
-
-__all__ = ["affected_symbols", "diff_files", "diff_impact", "diff_lines", "symbols_in_ranges"]

@@ -103,4 +103,14 @@ ORACLE = {
   AND NOT EXISTS (SELECT 1 FROM s WHERE s.name = r.callee AND s.file_id = r.to_file_id)
   AND NOT (r.to_file_id IS NULL AND EXISTS (SELECT 1 FROM s WHERE s.name = r.callee)) AND NOT (r.callee IS NULL AND EXISTS (SELECT 1 FROM s WHERE s.file_id = r.to_file_id))""",
     "p4_found": f"WITH RECURSIVE {_CLIMB} SELECT id, root_id, depth FROM placed",
+    # Of a node, all nodes of its tree whose path comes before its own were entered before it, and but for its ancestors left again.
+    "p4_hierarchy": f"""WITH RECURSIVE {_CLIMB},
+ below AS (SELECT v AS id, top AS root_id, depth, list_reverse(list_append(met, top)) AS path FROM climb WHERE top NOT IN (SELECT v FROM links)),
+ own AS (SELECT a AS id, count(*) AS n FROM (SELECT id, unnest(path) AS a FROM below) WHERE a <> id GROUP BY 1),
+ arcs AS (SELECT root_id, 2 * count(*) AS total FROM below GROUP BY 1),
+ entered AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY path) - 1 AS k FROM below),
+ inner_nodes AS (SELECT e.id, e.root_id, e.depth, e.path, coalesce(o.n, 0) AS n_descendants, a.total - 2 * (k - depth + 1) - (depth - 1) AS tour_in FROM entered e JOIN arcs a USING (root_id) LEFT JOIN own o ON o.id = e.id)
+ SELECT id, root_id, depth, path, n_descendants, tour_in, tour_in - 1 - 2 * n_descendants AS tour_out, 'inner' AS status FROM inner_nodes
+ UNION ALL SELECT p.v, p.v, 0, [p.v], coalesce(o.n, 0), coalesce(a.total, 0) + 1, 0, 'root' FROM {_PARENTS} p LEFT JOIN own o ON o.id = p.v LEFT JOIN arcs a ON a.root_id = p.v WHERE p.v NOT IN (SELECT v FROM links)
+ UNION ALL SELECT l.id, -1, -1, NULL, NULL, NULL, NULL, CASE WHEN EXISTS (SELECT 1 FROM climb c WHERE c.v = l.id AND c.top = l.id) THEN 'on_cycle' ELSE 'below_cycle' END FROM placed l WHERE l.root_id = -1""",
 }

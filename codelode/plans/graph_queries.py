@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions.paths import normalise
 from codelode.operators import architecture, closure, diffs, extract, impact, intent, maintenance, render, search
 from codelode.sources.graph import Graph
-from codelode.sources.tables import latest, load
+from codelode.sources.tables import load
 from codelode.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,7 +318,7 @@ def diff_files(spark, folder):
     return diffs.diff_files(diffs.diff_lines(watched_diffs(spark, folder)))
 
 
-@query(f", {_LAST} SELECT file AS diff_id, o.op, count(*) AS n, sum(CASE o.op WHEN '+' THEN NULL ELSE line_start + o.k END) AS old_sum, sum(CASE o.op WHEN '-' THEN NULL ELSE line_start + o.k END) AS new_sum FROM touched CROSS JOIN (VALUES (' ', 0), ('-', 1), ('+', 1)) AS o(op, k) GROUP BY 1, 2", graph=False)
+@query(f", {_LAST} SELECT file AS diff_id, o.op, count(*) AS n, CAST(sum(CASE o.op WHEN '+' THEN NULL ELSE line_start + o.k END) AS BIGINT) AS old_sum, CAST(sum(CASE o.op WHEN '-' THEN NULL ELSE line_start + o.k END) AS BIGINT) AS new_sum FROM touched CROSS JOIN (VALUES (' ', 0), ('-', 1), ('+', 1)) AS o(op, k) GROUP BY 1, 2", graph=False)
 def diff_lines(spark, folder):
     lines = diffs.diff_lines(watched_diffs(spark, folder)).where("op <> 'h'")
     return lines.groupBy("diff_id", "op").agg(F.count(F.lit(1)).alias("n"), F.sum("old_line").alias("old_sum"), F.sum("new_line").alias("new_sum"))
@@ -352,7 +352,7 @@ def semantic_diff_impact(spark, folder):
     return _diff_impact(spark, folder)
 
 
-@query(f"{_DIFF_IMPACT} SELECT change, risk, count(*) AS n_symbols, sum(total) AS n_dependents FROM judged GROUP BY 1, 2", graph=False)
+@query(f"{_DIFF_IMPACT} SELECT change, risk, count(*) AS n_symbols, CAST(sum(total) AS BIGINT) AS n_dependents FROM judged GROUP BY 1, 2", graph=False)
 def semantic_diff_risk(spark, folder):
     return _diff_impact(spark, folder).groupBy("change", "risk").agg(F.count(F.lit(1)).alias("n_symbols"), F.sum("total").alias("n_dependents"))
 
@@ -456,7 +456,7 @@ def remove_cascade(spark, folder):
 
 
 @query(f""", {_LAST}, again AS (SELECT f.id FROM g_files f JOIN last_event l ON l.path = f.path WHERE l.change_kind = 'change')
- SELECT kind, count(*) AS n, count(*) FILTER (file_id IN (SELECT id FROM again)) AS n_replaced, sum(line_start + CASE WHEN file_id IN (SELECT id FROM again) THEN 1 ELSE 0 END) AS lines FROM g_symbols GROUP BY 1""", graph=False)
+ SELECT kind, count(*) AS n, count(*) FILTER (file_id IN (SELECT id FROM again)) AS n_replaced, CAST(sum(line_start + CASE WHEN file_id IN (SELECT id FROM again) THEN 1 ELSE 0 END) AS BIGINT) AS lines FROM g_symbols GROUP BY 1""", graph=False)
 def replace_changed(spark, folder):
     """Symbols per kind after the changed files of the watch log were parsed anew, each symbol a line further down."""
     g = Graph.read(spark, folder)
@@ -578,5 +578,3 @@ def events_by_month(spark, folder):
     events = load(spark, folder, "watch_log").select("event_id", "change_kind", "happened_at").distinct()
     return events.groupBy(F.date_format("happened_at", "yyyy-MM").alias("month"), "change_kind").agg(F.countDistinct("event_id").alias("n"))
 
-
-__all__ = ["ORACLE", "QUERIES", "Window", "latest"]
