@@ -16,7 +16,7 @@ from codelode.session import spread_out
 #: Bounds of the training text: labelled documents per language, and characters per language.
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 20_000
 #: Below this margin between the best and the second language a sentence goes by its neighbours.
-SURE = 0.12
+SURE = 0.2
 #: Sentences of fewer words than this are no evidence of their own.
 LEAST_WORDS = 4
 
