@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions.paths import directory, normalise
 from codelode.operators.skew import spread_join
+from codelode.session import cut
 from codelode.sources.tables import first_seen, once
 
 # What may follow an import's resolved path, in the order tried.
@@ -94,14 +95,18 @@ def resolve_imports(imports: DataFrame, seen: DataFrame) -> DataFrame:
     return spread_join(rel, first, ["_base"], "left", ["id"]).select("id", "ref_at", "target", "target_at")
 
 
-def index_orphans(files: DataFrame, symbols: DataFrame, refs: DataFrame, imports: DataFrame) -> DataFrame:
+def index_orphans(files: DataFrame, symbols: DataFrame, refs: DataFrame, imports: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """(field, row_id) of references to names, files and import targets that are missing or came later.
 
     Distinct rows. Match semantics are simple: a null ``to_symbol_name``, ``to_file_id`` or
     ``source_path`` refers to nothing. A target came later if its file was first indexed
-    after the referring row's file; where either time is unknown, it did not.
+    after the referring row's file; where either time is unknown, it did not. ``seen`` may
+    hand in the files' first times if they are known already.
+
+    Each field's orphans are written before they are put together: they are few beside the
+    tables, and one plan over all fields would be large for the driver.
     """
-    seen = first_seen(files)
+    seen = cut(first_seen(files)) if seen is None else seen
     by_name = missing_names(refs, symbols, "id", "to_symbol_name", "name")
     to_file = refs.select("id", "from_symbol_id", "to_file_id").where(F.col("to_file_id").isNotNull())
     lost = find_orphans(to_file, "id", seen, [("to_file_id", "file_id")], "simple").select("id")
@@ -110,7 +115,7 @@ def index_orphans(files: DataFrame, symbols: DataFrame, refs: DataFrame, imports
     resolved = resolve_imports(imports, seen)
     unresolved = resolved.where(F.col("target").isNull() | (F.col("target_at") > F.col("ref_at"))).select("id")
     parts = [("to_symbol_name", by_name), ("to_file_id", lost), ("to_file_id", late), ("source_path", unresolved)]
-    return reduce(DataFrame.unionByName, [p.select(F.lit(n).alias("field"), F.col("id").cast("long").alias("row_id")) for n, p in parts]).distinct()
+    return reduce(DataFrame.unionByName, [cut(p.select(F.lit(n).alias("field"), F.col("id").cast("long").alias("row_id")).distinct()) for n, p in parts]).distinct()
 
 
 def orphans_by_month(files: DataFrame, symbols: DataFrame, refs: DataFrame, imports: DataFrame) -> DataFrame:
@@ -118,11 +123,11 @@ def orphans_by_month(files: DataFrame, symbols: DataFrame, refs: DataFrame, impo
 
     The month is ``yyyy-MM``, null if the referring file is unknown.
     """
-    seen = first_seen(files)
-    found = index_orphans(files, symbols, refs, imports)
+    seen = cut(first_seen(files))
+    found = index_orphans(files, symbols, refs, imports, seen)
     per_ref = found.where(F.col("field") != "source_path").withColumnRenamed("row_id", "id")
     origin = once(refs.select("id", "from_symbol_id").where(F.col("id").isNotNull()))
-    dated = referring_files(per_ref.join(origin, "id"), symbols, seen).select(F.lit("references_").alias("table_name"), "field", "ref_at")
+    dated = referring_files(cut(per_ref.join(origin, "id")), symbols, seen).select(F.lit("references_").alias("table_name"), "field", "ref_at")
     per_import = found.where(F.col("field") == "source_path").withColumnRenamed("row_id", "id")
     importer = once(imports.select("id", "file_id").where(F.col("id").isNotNull()))
     importing = spread_join(per_import.join(importer, "id"), seen.select("file_id", F.col("first_at").alias("ref_at")), ["file_id"], "left", ["id"])
