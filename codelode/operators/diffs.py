@@ -74,17 +74,13 @@ def _located(g: Graph, sections: DataFrame, column: str) -> DataFrame:
     return wanted.join(hit, "_key").drop("_key")
 
 
-def affected_symbols(g: Graph, sections: DataFrame, most: int = 100) -> DataFrame:
-    """(diff_id, section, change, id, name, kind, file, is_exported): added and deleted files' symbols, else those that a changed line or the hull of all changed lines meets.
-
-    Of an added or deleted file at most ``most`` symbols come out, the first by line.
-    """
+def affected_symbols(g: Graph, sections: DataFrame) -> DataFrame:
+    """(diff_id, section, change, id, name, kind, file, is_exported): all symbols of added and deleted files, else those that a changed line or the hull of all changed lines meets."""
     shown = ["diff_id", "section", "change", "id", "name", "kind", "file", "is_exported"]
     rows = []
     for status, column, change in (("added", "new_file", "added"), ("deleted", "old_file", "removed")):
         whole = _located(g, sections.where(F.col("status") == status), column).join(g.placed, "file").withColumn("change", F.lit(change))
-        place = F.row_number().over(Window.partitionBy("diff_id", "section").orderBy("line_start", "id"))
-        rows.append(whole.withColumn("_n", place).where(F.col("_n") <= most).select(*shown))
+        rows.append(whole.select(*shown))
     edited = _located(g, sections.where(~F.col("status").isin("added", "deleted")), "new_file").join(g.placed, "file")
     lines = F.concat("added", "removed")
     met = F.exists(lines, lambda x: x.between(F.col("line_start"), F.col("line_end"))) | ((F.col("line_start") <= F.col("line_max")) & (F.col("line_end") >= F.col("line_min")))

@@ -130,6 +130,18 @@ def test_diffs(g, spark):
     assert risks["handleRequest"] == (0, "none") and risks["log"][1] == "high"
 
 
+def test_whole_files_give_all_symbols(spark):
+    files = [(1, "gone.ts", "h", AT), (2, "new.ts", "h", AT), (3, "user.ts", "h", AT)]
+    symbols = [sym(100 * f + i, f"f{f}_{i}", "function", f, i, i) for f, n in ((1, 99), (2, 99)) for i in range(1, n + 1)] + [sym(1000 + 100 * f + i, f"g{f}_{i}", "function", f, 200 + i, 200 + i) for f in (1, 2) for i in range(31)] + [sym(9000, "user", "function", 3, 1, 9)]
+    refs = [ref(1, 9000, "g1_30"), ref(2, 9000, "f1_1")]
+    g = Graph(spark.createDataFrame(files, FILES), spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(refs, REFS), spark.createDataFrame([], IMPORTS))
+    text = "diff --git a/gone.ts b/gone.ts\n--- a/gone.ts\n+++ /dev/null\n@@ -1 +0,0 @@\n-a\ndiff --git a/new.ts b/new.ts\n--- /dev/null\n+++ b/new.ts\n@@ -0,0 +1 @@\n+a"
+    sections = diffs.diff_files(diffs.diff_lines(spark.createDataFrame([("d", text)], "diff_id string, diff_text string")))
+    rows = diffs.diff_impact(g, diffs.affected_symbols(g, sections), 1).collect()
+    assert sorted(r["change"] for r in rows) == ["added"] * 130 + ["removed"] * 130
+    assert sorted(r["name"] for r in rows if r["risk"] == "breaking") == ["f1_1", "g1_30"]
+
+
 def test_architecture(g):
     edges = {(r["source_file"], r["target_file"]) for r in architecture.module_edges(g).collect()}
     assert edges == {("src/orders.ts", "src/utils.ts"), ("src/api/index.ts", "src/orders.ts"), ("src/orders.ts", "src/api/index.ts"), ("src/utils.ts", "src/orders.ts")}
