@@ -231,14 +231,21 @@ def _docstrings(lines: DataFrame) -> DataFrame:
 
 
 def _inner_docstrings(lines: DataFrame) -> DataFrame:
-    """(file, line, inner): Python strings on the line after a definition, up to where they close on it or after it."""
-    text = F.trim("text")
+    """(file, line, inner): Python strings on the line after a definition, up to where they close, however many lines on. Strings that never close give an empty one or no row."""
     by_file = Window.partitionBy("file").orderBy("line")
-    body = F.array_join(F.collect_list(text).over(by_file.rowsBetween(0, 40)), "\n")
-    inner = F.regexp_extract(body, r'^[rRuU]?(?:"""([\s\S]*?)"""|\'\'\'([\s\S]*?)\'\'\'|"([^"\n]*)"|\'([^\'\n]*)\')', 0)
+    before = by_file.rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.where(F.col("lang") == "python").select("file", "line", F.trim("text").alias("t"), (F.lag(F.trim("bare")).over(by_file) != "").alias("_after"))
+    held = [F.when(F.col("_after") & F.col("t").rlike(r"^[rRuU]?[\"']"), F.col("line"))]
+    for quote in ('"""', "'''"):
+        # The last line before this one that holds the quote: its number if it opens a string and leaves it open, else 0.
+        opens = F.col("_after") & F.col("t").rlike(rf"^[rRuU]?{quote}(?!.*{quote})")
+        held.append(F.last(F.when(F.col("t").contains(quote), F.when(opens, F.col("line")).otherwise(0)), ignorenulls=True).over(before))
+    members = rows.select("file", "line", "t", F.array(*held).alias("_held")).select("file", "line", "t", F.explode(F.filter("_held", lambda x: x > 0)).alias("_from"))
+    listed = F.array_sort(F.collect_list(F.struct("line", "t")))
+    body = members.groupBy("file", "_from").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n").alias("body"))
+    inner = F.regexp_extract("body", r'^[rRuU]?(?:"""([\s\S]*?)"""|\'\'\'([\s\S]*?)\'\'\'|"([^"\n]*)"|\'([^\'\n]*)\')', 0)
     told = F.trim(F.regexp_replace(inner, r'^[rRuU]?(?:"""|\'\'\'|"|\')|(?:"""|\'\'\'|"|\')$', ""))
-    starts = (F.col("lang") == "python") & text.rlike(r"^[rRuU]?(?:\"|')")
-    return lines.withColumn("inner", F.when(starts, told)).where(starts).select("file", (F.col("line") - 1).alias("line"), "inner")
+    return body.select("file", (F.col("_from") - 1).alias("line"), told.alias("inner"))
 
 
 def extract_symbols(lines: DataFrame) -> DataFrame:

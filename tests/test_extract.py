@@ -236,3 +236,11 @@ def test_watching(spark, tmp_path):
     query.awaitTermination(60)
     time.sleep(0.1)
     assert [s.rsplit("/", 1)[1] for s in seen] == ["a.py"]
+
+
+@pytest.mark.parametrize("quote", ['"""', "'''"])
+def test_docstrings_of_any_length(spark, quote):
+    told = "\n".join(f"Line {i}." for i in range(500))
+    text = f"# above\ndef long():\n    {quote}{told}\n    {quote}\n    return 1\n\n\ndef short():\n    {quote}One.{quote}\n    x = {quote}a\n    {quote}\n\n\n# above\ndef open_():\n    {quote}Never closed\n"
+    docs = {r["name"]: r["docstring"] for r in scan_sources(spark.createDataFrame([("a.py", text)], "file string, content string"))["symbols"].collect()}
+    assert docs["long"].split() == told.split() and docs["short"] == "One." and docs["open_"] == "above"
