@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions.like import contains, starts
+from codelode.operators.architecture import resolve
 from codelode.sources.graph import Graph
 
 # Words and names by which handlers and entry points are found.
@@ -166,15 +167,23 @@ def projects(g: Graph) -> DataFrame:
 def definitions(g: Graph) -> DataFrame:
     """(ref_id, definition_id): for each reference the likeliest symbol of its bare name: in the same file, then imported there by name, then exported, then any; ties by id.
 
-    An approximation by names: no types are inferred. References whose name no symbol has come out with null.
+    An import counts under its local name and leads to the symbol of the imported name,
+    else of the local one, in the file that its source resolves to. An approximation by
+    names: no types are inferred, and what ``*`` imports is not told by name. References whose name no symbol has come out with null.
     """
-    names = g.symbols.select(F.col("name").alias("to_bare"), F.col("id").alias("def_id"), F.col("file_id").alias("def_file"), F.col("is_exported").alias("def_exported"))
+    # Only the columns asked for are taken before repeated rows are dropped, as whole rows fill the disk.
+    names = g.raw_symbols.select(F.col("name").alias("to_bare"), F.col("id").alias("def_id"), F.col("file_id").alias("def_file"), F.col("is_exported").alias("def_exported")).distinct()
     per_name = names.groupBy("to_bare").agg(F.min(F.struct((1 - F.col("def_exported")).alias("rank"), F.col("def_id"))).alias("any"))
     local = names.groupBy("to_bare", F.col("def_file").alias("file_id")).agg(F.min("def_id").alias("local_id"))
-    refs = g.references.select(F.col("id").alias("ref_id"), "from_symbol_id", F.substring_index("to_symbol_name", ".", -1).alias("to_bare"))
-    placed = refs.join(g.symbols.select(F.col("id").alias("from_symbol_id"), "file_id"), "from_symbol_id")
-    found = placed.join(local, ["to_bare", "file_id"], "left").join(per_name, "to_bare", "left")
-    return found.select("ref_id", F.coalesce("local_id", "any.def_id").alias("definition_id"))
+    paths = g.files.select(F.col("id").alias("file_id"), F.col("path").alias("file"))
+    leads = resolve(g).join(paths, "file").join(paths.select(F.col("file_id").alias("def_file"), F.col("file").alias("target")), "target").select("file_id", F.col("source").alias("source_path"), "def_file")
+    bound = F.coalesce(F.nullif("local_name", F.lit("")), "imported_name")
+    wanted = g.raw_imports.select("file_id", "source_path", "imported_name", "local_name").distinct().join(leads, ["file_id", "source_path"]).select("file_id", "def_file", bound.alias("bound"), F.posexplode(F.array_distinct(F.array("imported_name", bound))).alias("_rank", "to_bare")).distinct()
+    imported = wanted.join(names, ["def_file", "to_bare"]).groupBy("file_id", F.col("bound").alias("to_bare")).agg(F.min(F.struct("_rank", (1 - F.col("def_exported")).alias("rank"), "def_id")).alias("imported"))
+    refs = g.raw_references.select(F.col("id").alias("ref_id"), "from_symbol_id", F.substring_index("to_symbol_name", ".", -1).alias("to_bare")).distinct()
+    placed = refs.join(g.raw_symbols.select(F.col("id").alias("from_symbol_id"), "file_id").distinct(), "from_symbol_id")
+    found = placed.join(local, ["to_bare", "file_id"], "left").join(imported, ["to_bare", "file_id"], "left").join(per_name, "to_bare", "left")
+    return found.select("ref_id", F.coalesce("local_id", "imported.def_id", "any.def_id").alias("definition_id"))
 
 
 def implementations(g: Graph) -> DataFrame:

@@ -142,6 +142,18 @@ def test_whole_files_give_all_symbols(spark):
     assert sorted(r["name"] for r in rows if r["risk"] == "breaking") == ["f1_1", "g1_30"]
 
 
+def test_definitions_follow_imports(spark):
+    files = [(i, f"src/{p}.ts", "h", AT) for i, p in enumerate(["any", "near", "user", "other"], 1)]
+    symbols = [
+        sym(1, "log", "function", 1, 1, 2, 1), sym(2, "log", "function", 2, 1, 2, 1), sym(3, "user", "function", 3, 1, 9), sym(4, "other", "function", 4, 1, 9), sym(5, "save", "function", 1, 3, 4, 1), sym(6, "save", "function", 2, 3, 4), sym(7, "keep", "function", 1, 5, 6, 1),
+        sym(8, "run", "function", 1, 7, 8, 1), sym(9, "run", "function", 2, 7, 8, 1), sym(10, "run", "function", 3, 10, 11),
+    ]
+    refs = [ref(1, 3, "log"), ref(2, 4, "log"), ref(3, 3, "keep"), ref(4, 3, "run"), ref(5, 3, "save"), ref(6, 3, "nothing")]
+    imports = [(1, 3, "./near", "log", "log", 0, 0, 1), (2, 3, "./near", "save", "keep", 0, 0, 2), (3, 3, "./near", "run", "run", 0, 0, 3), (4, 4, "./gone", "log", "log", 0, 0, 1)]
+    g = Graph(spark.createDataFrame(files, FILES), spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(refs, REFS), spark.createDataFrame(imports, IMPORTS))
+    assert {r["ref_id"]: r["definition_id"] for r in search.definitions(g).collect()} == {1: 2, 2: 1, 3: 6, 4: 10, 5: 5, 6: None}
+
+
 def test_architecture(g):
     edges = {(r["source_file"], r["target_file"]) for r in architecture.module_edges(g).collect()}
     assert edges == {("src/orders.ts", "src/utils.ts"), ("src/api/index.ts", "src/orders.ts"), ("src/orders.ts", "src/api/index.ts"), ("src/utils.ts", "src/orders.ts")}
