@@ -2,41 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-#: A key is heavy if it holds this share of the rows; so there are at most 1 / HEAVY_SHARE
-#: heavy keys, which bounds what is broadcast, and a salted part holds about this share.
-HEAVY_SHARE = 1 / 500
+#: Bounds of the number of parts into which all rows would be cut, and so of the heavy keys,
+#: of which there are at most as many. Between them it is the session's number of shuffle
+#: partitions: a part then holds no more rows than a task does on average.
+LEAST_PARTS, MOST_PARTS = 500, 50_000
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
-    """(keys..., _salts): the keys with at least ``share`` of df's rows, and into how many parts to cut each.
+def parts(spark: SparkSession) -> int:
+    return min(max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_PARTS)
 
-    The count is exact and combined before its shuffle. At most 1/share rows come out,
-    whatever the data, so the result may be broadcast.
-    """
-    least = max(2.0, df.count() * share)
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= least)
-        .select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_salts"))
-    )
 
+def heavy_keys(df: DataFrame, keys: list[str], share: float | None = None) -> DataFrame | None:
+    """(keys..., _salts): the keys with at least ``share`` of df's rows, and into how many parts to cut each; None if there are none.
 
-def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & a[k].eqNullSafe(b[k])
-    return on
-
-
-def with_salt(df: DataFrame, keys: list[str], heavy: DataFrame, spread: list[str]) -> DataFrame:
+    The count is exact, combined before its shuffle, and made with the total in one pass
+    over df. At most 1/share keys can be heavy, whatever the data, so no more than the so
+    many most frequent ones reach the driver, and the result may be broadcast. By default
+    the share is that of one of ``parts`` parts.
+    """
+    spark = df.sparkSession
+    share = share or 1 / parts(spark)
+    seen = Observation()
+    counted = df.select(*keys).observe(seen, F.count(F.lit(1)).alias("rows")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    top = counted.where("_n > 1").orderBy(F.desc("_n")).limit(math.ceil(1 / share)).collect()
+    least = max(2.0, seen.get["rows"] * share) if top else 0
+    rows = [(*[r[k] for k in keys], math.ceil(r["_n"] / least)) for r in top if r["_n"] >= least]
+    schema = StructType([*[counted.schema[k] for k in keys], StructField("_salts", IntegerType())])
+    return spark.createDataFrame(rows, schema) if rows else None
+
+
+def heavy_counted(counted: DataFrame, keys: list[str], n: str, share: float | None = None) -> DataFrame | None:
+    """The same from a written table of the number ``n`` of rows per key."""
+    share = share or 1 / parts(counted.sparkSession)
+    total, most = counted.agg(F.sum(n), F.max(n)).first()
+    least = max(2.0, (total or 0) * share)
+    if (most or 0) < least:
+        return None
+    return counted.where(F.col(n) >= least).select(*keys, F.ceil(F.col(n) / least).cast("int").alias("_salts"))
+
+
+def with_salt(df: DataFrame, keys: list[str], heavy: DataFrame | None, spread: list[str]) -> DataFrame:
     """df plus ``_salt``: 0 for light keys, for heavy ones a number drawn from the hash of ``spread``.
 
     The draw is a hash rather than rand(), so that a task that runs again draws alike.
     """
+    if heavy is None:
+        return df.withColumn("_salt", F.lit(0))
     h = F.broadcast(heavy.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_salts"))
     on = F.lit(True)
     for k in keys:
@@ -51,7 +68,7 @@ def keyed_counts(
     row_id: str,
     members: str | None = None,
     spans: list[str] = (),
-    share: float = HEAVY_SHARE,
+    share: float | None = None,
 ) -> DataFrame:
     """Per key: ``n_rows`` distinct row ids, ``n_members`` distinct members, min/max of ``spans``.
 
@@ -80,14 +97,27 @@ def keyed_counts(
     return per_member.groupBy(*keys).agg(F.sum("_n").alias("n_rows"), F.count(members).alias("n_members"), *again)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: list[str], share: float = HEAVY_SHARE) -> DataFrame:
-    """Join left with right, which holds each key at most once, when left has heavy keys.
+def spread_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str,
+    spread: list[str],
+    share: float | None = None,
+    known: tuple[DataFrame | None] | None = None,
+) -> DataFrame:
+    """Join left with right, which holds each key at most once or a few times, when left has heavy keys.
 
     Heavy keys' rows on the left are salted by the hash of ``spread`` and only those keys'
     rows on the right are repeated, once per salt. Null keys match nothing. ``how`` is
-    inner, left, left_semi or left_anti.
+    inner, left, left_semi or left_anti. The left side runs twice, to find its heavy keys
+    and to be joined, the right side once; where its heavy keys are handed in, as a tuple
+    of that one table, both run once. So a left side that is costly to make should be cut,
+    or its heavy keys be known.
     """
-    heavy = heavy_keys(left.select(*on).dropna(), on, share)
+    heavy = known[0] if known else heavy_keys(left.select(*on).dropna(), on, share)
+    if heavy is None:
+        return left.join(right, on, how)
     a = with_salt(left, on, heavy, spread)
     h = F.broadcast(heavy.select(*[F.col(k).alias(f"_h_{k}") for k in on], "_salts"))
     cond = F.lit(True)

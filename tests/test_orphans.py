@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from codelode.operators.orphans import find_orphans, index_orphans, orphans_by_month, resolve_imports
 from codelode.sources.tables import first_seen
@@ -59,3 +60,20 @@ def test_hot_key(spark):
     child = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "id long, x string")
     parent = spark.createDataFrame([("k0",)], "name string")
     assert find_orphans(child, "id", parent, [("x", "name")]).count() == 299
+
+
+def test_fields_go_through_the_masks(spark):
+    # Under simple match a composite key with nulls is never an orphan, under full match always: so the masks decide.
+    assert index_orphans(*tables(spark), match="simple").count() == 0
+    everything = {(r["field"], r["row_id"]) for r in index_orphans(*tables(spark), match="full").collect()}
+    assert everything > {(r["field"], r["row_id"]) for r in index_orphans(*tables(spark)).collect()}
+    assert ("to_file_id", 2) in everything and ("to_symbol_name", 4) not in everything
+
+
+def test_times_and_forms(spark):
+    child = spark.createDataFrame([(1, "a", T[0]), (2, "a", T[2]), (3, "a", None), (4, "x.a", T[5]), (5, "z", None), (6, "b", T[0]), (6, "b", T[0]), (7, "c", T[0])], "id long, k string, at timestamp_ntz")
+    parent = spark.createDataFrame([("a", T[3]), ("a", T[1]), ("b", None), ("c", T[4]), ("c", None)], "name string, came timestamp_ntz")
+    keys = [("k", "name")]
+    assert {r["id"] for r in find_orphans(child, "id", parent, keys, times=("at", "came")).collect()} == {1, 4, 5}
+    last = {"k": lambda c: F.substring_index(c, ".", -1)}
+    assert {r["id"] for r in find_orphans(child, "id", parent, keys, times=("at", "came"), forms=last).collect()} == {1, 5}
