@@ -14,31 +14,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions.like import fold
-from codelode.session import cut
+from codelode.operators.skew import spread_join
+from codelode.session import cut, cut_counted
 from codelode.sources.graph import Graph
 
 CALLING = ["call", "instantiation"]
+DETAIL = ["ref_id", "to_symbol", "ref_kind", "ref_line", "ref_col", "from_symbol", "from_kind", "from_file", "from_line"]
+#: A level, or what it hits, of up to so many rows is broadcast; their count is known by then.
+BROADCAST_ROWS = 100_000
+#: Letters in the runs on which sources are met with paths.
+GRAM = 3
 
 
-def _dotted_prefixes(full: Column) -> Column:
-    """The lower-case parts before each dot of a dotted name."""
-    parts = F.split(fold(full), r"\.")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+def with_match_keys(refs: DataFrame) -> DataFrame:
+    """refs (to_symbol, to_bare, ...), once per ``key`` that a frontier name must equal to match: ``e:`` and the full or bare name, ``p:`` and in lower case what comes before each dot.
 
-
-def match_keys(full: Column, bare: Column) -> Column:
-    """What a frontier name must equal to match: the full or bare name, or in lower case what comes before a dot.
-
-    ``but`` keeps a reference from matching one name twice, as bare name and as prefix.
+    Written with a running number instead of lists, so that it stays in generated code.
     """
-    exact = F.transform(F.array_distinct(F.array_compact(F.array(full, bare))), lambda k: F.struct(F.lit("e").alias("tag"), k.alias("key"), F.lit(None).cast("string").alias("but")))
-    prefix = F.transform(F.array_distinct(_dotted_prefixes(full)), lambda k: F.struct(F.lit("p").alias("tag"), k.alias("key"), bare.alias("but")))
-    return F.when(full.contains("."), F.concat(exact, prefix)).otherwise(exact)
+    full, bare, i = F.col("to_symbol"), F.col("to_bare"), F.col("_i")
+    dots = F.coalesce(F.length(full) - F.length(F.translate(full, ".", "")), F.lit(0))
+    prefix = F.concat(F.lit("p:"), fold(F.expr("substring_index(to_symbol, '.', _i)")))
+    other = F.when(full.isNull() | (full != bare), F.concat(F.lit("e:"), bare))
+    key = F.when(i == -1, F.concat(F.lit("e:"), full)).when(i == 0, other).otherwise(prefix)
+    return refs.withColumn("_i", F.explode(F.sequence(F.lit(-1), dots))).withColumn("key", key).drop("_i").where(F.col("key").isNotNull())
 
 
 def _as_keys(frontier: DataFrame) -> DataFrame:
-    both = F.array(F.struct(F.lit("e").alias("tag"), F.col("name").alias("key")), F.struct(F.lit("p").alias("tag"), fold(F.col("name")).alias("key")))
-    return frontier.withColumn("_k", F.explode(both)).select("root", "name", "paths", F.col("_k.tag").alias("tag"), F.col("_k.key").alias("key"))
+    both = F.array(F.concat(F.lit("e:"), F.col("name")), F.concat(F.lit("p:"), fold(F.col("name"))))
+    return frontier.select("root", "name", "paths", F.explode(both).alias("key"))
 
 
 def _expand(closure: DataFrame, order: list[str], limit: int | None) -> DataFrame:
@@ -49,28 +52,42 @@ def _expand(closure: DataFrame, order: list[str], limit: int | None) -> DataFram
     return most.withColumn("path_no", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("paths"), F.lit(limit))))).orderBy(*order, "path_no").limit(limit).drop("paths", "path_no")
 
 
+def _meet(rows: DataFrame, wanted: DataFrame, n: int, on: list[str], spread: list[str]) -> DataFrame:
+    """Inner join of rows, in which a key may hold a large share, with a written table of n rows. Few wanted rows go to the scan of ``rows``, so that this is not shuffled; many are met by a salted join."""
+    return rows.join(F.broadcast(wanted), on) if n <= BROADCAST_ROWS else spread_join(rows, wanted, on, "inner", spread)
+
+
+def _owned(g: Graph, hits: DataFrame, n: int, columns: dict[str, str]) -> DataFrame:
+    """hits, a written table of n rows, with these columns of the symbols they stand in; of few hits the symbols are met where they are read."""
+    owners = g.raw_symbols.select(F.col("id").alias("from_symbol_id"), *[F.col(c).alias(a) for c, a in columns.items()])
+    return owners.join(F.broadcast(hits), "from_symbol_id").distinct() if n <= BROADCAST_ROWS else spread_join(hits, owners.distinct(), ["from_symbol_id"], "inner", ["ref_id"])
+
+
 def reference_closure(g: Graph, roots: DataFrame, depth: int) -> DataFrame:
     """References that lead to each root name in up to ``depth`` steps (1 to 10), with their number of paths.
 
     roots has one column ``root``. A reference leads to a name if its full or bare name is
     that, or its full name goes on after it with a dot, in any case. The next step looks
-    for references to the symbol in which the reference stands.
+    for references to the symbol in which the reference stands. Each step reads the
+    references once and keeps those that meet the level's names before anything is joined
+    to them or repeated rows are dropped; what is written is the level's answer.
     """
     depth = max(1, min(10, depth))
-    calls = cut(g.calls.select("ref_id", "to_symbol", "to_bare", "ref_kind", "ref_line", "ref_col", "from_symbol", "from_kind", "from_file", "from_line"))
-    keyed = calls.withColumn("_k", F.explode(match_keys(F.col("to_symbol"), F.col("to_bare")))).select("*", "_k.*").drop("_k")
-    edges = cut(keyed.groupBy("tag", "key", "but", "from_symbol").agg(F.count(F.lit(1)).alias("_n"))) if depth > 1 else None
+    keyed = with_match_keys(g.outgoing_raw)
     frontier = roots.select("root", F.col("root").alias("name"), F.lit(1).cast("long").alias("paths")).distinct()
     levels = []
     for level in range(1, depth + 1):
-        ahead = _as_keys(frontier)
-        meets = F.col("but").isNull() | (F.col("name") != F.col("but"))
-        hit = keyed.join(ahead, ["tag", "key"]).where(meets).drop("tag", "key", "but", "to_bare")
-        columns = [c for c in hit.columns if c not in ("paths", "name")]
-        levels.append(hit.groupBy(*columns).agg(F.sum("paths").alias("paths")).withColumn("depth", F.lit(level)))
-        if level < depth:
-            step = edges.join(ahead, ["tag", "key"]).where(meets).groupBy("root", F.col("from_symbol").alias("name")).agg(F.sum(F.col("paths") * F.col("_n")).alias("paths"))
-            frontier = cut(step)
+        ahead, n = cut_counted(_as_keys(frontier))
+        if not n and levels:
+            break
+        # No reference matches one name twice, as bare name and as prefix.
+        meets = F.col("key").startswith("e:") | F.col("to_bare").isNull() | (F.col("name") != F.col("to_bare"))
+        met = _meet(keyed, ahead, n, ["key"], ["ref_id"]).where(meets).drop("key", "to_bare").distinct()
+        hits, n = cut_counted(met.groupBy(*[c for c in met.columns if c not in ("paths", "name")]).agg(F.sum("paths").alias("paths")))
+        owned = _owned(g, hits, n, {"name": "from_symbol", "kind": "from_kind", "line_start": "from_line", "file_id": "file_id"})
+        found = cut(owned.join(g.paths.withColumnRenamed("file", "from_file"), "file_id").select("root", *DETAIL, "paths"))
+        levels.append(found.withColumn("depth", F.lit(level)))
+        frontier = found.groupBy("root", F.col("from_symbol").alias("name")).agg(F.sum("paths").alias("paths"))
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -84,18 +101,19 @@ def references_to(g: Graph, name: str, depth: int = 1, limit: int | None = 200)
 def callee_closure(g: Graph, name: str, depth: int = 2, limit: int | None = 100) -> DataFrame:
     """What a function calls or instantiates, and what the symbols of those names do, in up to ``depth`` steps (1 to 5)."""
     depth = max(1, min(5, depth))
-    spark = g.files.sparkSession
-    owner = g.symbols.select(F.col("id").alias("from_symbol_id"), F.col("name").alias("caller"))
-    calls = g.references.where(F.col("kind").isin(*CALLING)).join(owner, "from_symbol_id")
-    calls = cut(calls.select(F.col("id").alias("ref_id"), "caller", F.col("to_symbol_name").alias("callee"), F.col("to_symbol_bare_name").alias("callee_bare"), F.col("kind").alias("ref_kind"), F.col("line").alias("ref_line")))
-    frontier = spark.createDataFrame([(name, 1)], "caller string, paths long")
+    calls = g.raw_references.where(F.col("kind").isin(*CALLING) & F.col("id").isNotNull())
+    calls = calls.select(F.col("id").alias("ref_id"), "from_symbol_id", F.col("to_symbol_name").alias("callee"), F.col("to_symbol_bare_name").alias("callee_bare"), F.col("kind").alias("ref_kind"), F.col("line").alias("ref_line"))
+    owners = g.raw_symbols.select(F.col("id").alias("from_symbol_id"), F.col("name").alias("caller"))
+    frontier = g.files.sparkSession.createDataFrame([(name, 1)], "caller string, paths long")
     levels = []
     for level in range(1, depth + 1):
-        hit = calls.join(frontier, "caller")
+        # The symbols of the level's names first, then what stands in them.
+        frontier, n = cut_counted(frontier)
+        callers, n = cut_counted(_meet(owners, frontier, n, ["caller"], ["from_symbol_id"]).distinct())
+        hit = cut(_meet(calls, callers, n, ["from_symbol_id"], ["ref_id"]).distinct())
         levels.append(hit.select("ref_id", "caller", "callee", "callee_bare", "ref_kind", "ref_line", "paths", F.lit(level).alias("depth")))
-        if level < depth:
-            names = F.array_distinct(F.array_compact(F.array("callee", "callee_bare")))
-            frontier = cut(hit.withColumn("_next", F.explode(names)).groupBy(F.col("_next").alias("caller")).agg(F.sum("paths").alias("paths")))
+        names = F.array_distinct(F.array_compact(F.array("callee", "callee_bare")))
+        frontier = hit.withColumn("_next", F.explode(names)).groupBy(F.col("_next").alias("caller")).agg(F.sum("paths").alias("paths"))
     return _expand(reduce(DataFrame.unionByName, levels), ["depth", "ref_line", "callee", "ref_id"], limit)
 
 
@@ -109,34 +127,45 @@ def first_per_depth(closure: DataFrame, keys: list[str], order: list[str]) -> Da
 def dependency_closure(g: Graph, path: str, depth: int = 2, limit: int | None = 100) -> DataFrame:
     """Imports of a file, and of the files whose path contains an imported source, in up to ``depth`` steps.
 
-    The step is a containment test, which no key can narrow; it is made once per distinct
-    source and distinct path component run: a source matches a path if it equals one of
-    the path's substrings that start and end at separators, or lies inside a component.
+    The step is a containment test, ASCII letter case aside, which no key can narrow. It is
+    made between the level's distinct sources and the distinct paths.
     """
     depth = max(1, min(5, depth))
-    spark = g.files.sparkSession
-    imports = cut(g.imports.join(g.files.select(F.col("id").alias("file_id"), F.col("path").alias("file")), "file_id").select(F.col("id").alias("import_id"), "file", F.col("source_path").alias("source")))
-    frontier = spark.createDataFrame([(path, 1)], "file string, paths long")
+    imports = g.raw_imports.where(F.col("id").isNotNull()).select(F.col("id").alias("import_id"), "file_id", F.col("source_path").alias("source"))
+    frontier = g.paths.where(F.col("file") == path).withColumn("paths", F.lit(1).cast("long"))
     levels = []
     for level in range(1, depth + 1):
-        hit = imports.join(frontier, "file")
+        frontier, n = cut_counted(frontier)
+        hit = cut(_meet(imports, frontier, n, ["file_id"], ["import_id"]).distinct())
         levels.append(hit.select("import_id", "file", "source", "paths", F.lit(level).alias("depth")))
         if level < depth:
             sources = cut(hit.groupBy("source").agg(F.sum("paths").alias("paths")))
-            frontier = cut(_containing(g, sources).groupBy("file").agg(F.sum("paths").alias("paths")))
+            frontier = _containing(g, sources).groupBy("file_id", "file").agg(F.sum("paths").alias("paths"))
     return _expand(reduce(DataFrame.unionByName, levels), ["depth", "file", "source", "import_id"], limit)
 
 
 def _containing(g: Graph, sources: DataFrame) -> DataFrame:
-    """(file, source, paths): files whose path contains the source, letter case of ASCII aside.
+    """(file_id, file, source, paths): files whose path contains the source; sources are a written table.
 
-    Met on the source's first three letters, as a gram that the path must contain; shorter
-    sources on all of theirs.
+    A source is met on that run of three of its letters which fewest paths hold, a shorter
+    one on all of its letters. Few sources go to the scan of the paths; many are met by a
+    salted join, as a run such as that of a common folder may be in every path.
     """
-    gram = 3
-    folded = fold(F.col("path"))
-    at = F.sequence(F.lit(1), F.length(folded))
-    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.substring(folded, i, n)))))
-    paths = g.files.select(F.col("path").alias("file")).distinct().withColumn("path", F.col("file")).select("file", folded.alias("_p"), F.explode(grams).alias("_g"))
-    wanted = sources.where(F.length("source") > 0).withColumn("_s", fold(F.col("source"))).withColumn("_g", F.substring("_s", 1, gram))
-    return paths.join(wanted, "_g").where(F.col("_p").contains(F.col("_s"))).select("file", "source", "paths")
+    wanted = sources.where(F.length("source") > 0).withColumn("_s", fold(F.col("source")))
+    lengths = [r[0] for r in wanted.select(F.least(F.length("_s"), F.lit(GRAM))).distinct().collect()]
+    if not lengths:
+        return g.paths.select("file_id", "file", F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("paths")).limit(0)
+
+    def run(text: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+    def runs(text: Column, sizes: list[int]) -> Column:
+        return F.array_distinct(F.concat(*[run(text, n) for n in sizes]))
+
+    paths = g.paths.withColumn("_p", fold(F.col("file"))).withColumn("_g", F.explode(runs(F.col("_p"), lengths)))
+    # How many paths hold each run: a source is asked for under the run that fewest hold.
+    common = cut(paths.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")))
+    asked = wanted.withColumn("_g", F.explode(runs(F.col("_s"), [GRAM]))).join(common, "_g", "left")
+    rarest, n = cut_counted(asked.groupBy("source", "paths", "_s").agg(F.min(F.struct(F.coalesce("_n", F.lit(0).cast("long")).alias("_n"), "_g")).alias("_m")).where(F.col("_m._n") > 0).select("source", "paths", "_s", F.col("_m._g").alias("_g")))
+    met = _meet(paths, rarest, n, ["_g"], ["file_id"])
+    return met.where(F.col("_p").contains(F.col("_s"))).select("file_id", "file", "source", "paths")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.operators.impact import dependents, impact_counts
+from codelode.session import cut
 from codelode.sources.graph import Graph
 
 HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
@@ -77,11 +78,13 @@ def _located(g: Graph, sections: DataFrame, column: str) -> DataFrame:
 def affected_symbols(g: Graph, sections: DataFrame) -> DataFrame:
     """(diff_id, section, change, id, name, kind, file, is_exported): all symbols of added and deleted files, else those that a changed line or the hull of all changed lines meets."""
     shown = ["diff_id", "section", "change", "id", "name", "kind", "file", "is_exported"]
+    sections = cut(sections)
+    placed = g.placed_with("name", "kind", "line_start", "line_end", "is_exported")
     rows = []
     for status, column, change in (("added", "new_file", "added"), ("deleted", "old_file", "removed")):
-        whole = _located(g, sections.where(F.col("status") == status), column).join(g.placed, "file").withColumn("change", F.lit(change))
+        whole = _located(g, sections.where(F.col("status") == status), column).join(placed, "file").withColumn("change", F.lit(change))
         rows.append(whole.select(*shown))
-    edited = _located(g, sections.where(~F.col("status").isin("added", "deleted")), "new_file").join(g.placed, "file")
+    edited = _located(g, sections.where(~F.col("status").isin("added", "deleted")), "new_file").join(placed, "file")
     lines = F.concat("added", "removed")
     met = F.exists(lines, lambda x: x.between(F.col("line_start"), F.col("line_end"))) | ((F.col("line_start") <= F.col("line_max")) & (F.col("line_end") >= F.col("line_min")))
     rows.append(edited.where(met).withColumn("change", F.lit("modified")).select(*shown))
@@ -91,6 +94,7 @@ def affected_symbols(g: Graph, sections: DataFrame) -> DataFrame:
 def diff_impact(g: Graph, affected: DataFrame, depth: int = 2) -> DataFrame:
     """affected plus direct, total, n_files (references from within the symbol itself left out) and risk: breaking, high or none."""
     depth = max(1, min(5, depth))
+    affected = cut(affected)
     symbols = affected.select("id", "name", "file").distinct()
     counts = impact_counts(symbols, dependents(g, symbols, depth, drop_self=True)).select("id", "direct", "total", "n_files")
     risk = F.when((F.col("change") == "removed") & (F.col("total") > 0), "breaking").when(F.col("total") > HIGH_IMPACT, "high").otherwise("none")

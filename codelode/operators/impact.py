@@ -11,7 +11,7 @@ from codelode.sources.graph import Graph
 
 def symbols_in_ranges(g: Graph, ranges: DataFrame) -> DataFrame:
     """Symbols that overlap the ranges (file, first, last) of lines; the join is on the file, the overlap a residual."""
-    hit = g.placed.join(ranges, "file").where((F.col("line_start") <= F.col("last")) & (F.col("line_end") >= F.col("first")))
+    hit = g.placed_with("name", "kind", "line_start", "line_end", "is_exported").join(ranges, "file").where((F.col("line_start") <= F.col("last")) & (F.col("line_end") >= F.col("first")))
     return hit.select("id", "name", "kind", "file", "line_start", "line_end", "is_exported").distinct()
 
 

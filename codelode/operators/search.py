@@ -28,7 +28,8 @@ SHOWN = ["id", "name", "kind", "file", "line_start", "line_end", "col_start", "c
 
 def index_stats(g: Graph) -> DataFrame:
     """(relation, n): rows of each relation."""
-    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("relation"), "n") for name, df in (("files", g.files), ("symbols", g.symbols), ("references", g.references), ("imports", g.imports))]
+    tables = (("files", g.raw_files), ("symbols", g.raw_symbols), ("references", g.raw_references), ("imports", g.raw_imports))
+    counts = [df.select("id").dropna().distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("relation"), "n") for name, df in tables]
     return reduce(DataFrame.unionByName, counts)
 
 

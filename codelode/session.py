@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, **conf: str) -> SparkSession:
@@ -43,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut, and the number of rows written, which costs no pass of its own."""
+    seen = Observation()
+    written = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return written, seen.get["rows"]
+
+
 def spread_out(df: DataFrame, key: str) -> DataFrame:
     """df over at least three partitions per core, for work that is heavy per row; left alone if it has as many.
 

@@ -17,7 +17,13 @@ IMPORT = ["id", "file_id", "source_path", "imported_name", "local_name", "is_def
 
 @dataclass(frozen=True)
 class Graph:
-    """The relations of one index. Rows delivered twice are dropped by grouping on all columns, below which filters still move to the scan."""
+    """The relations of one index.
+
+    Rows delivered twice have equal fields, so they are dropped by grouping on the columns
+    asked for, the id among them: only those are read and shuffled, and filters still move
+    below the grouping to the scan. ``symbols``, ``references`` and ``imports`` have all
+    columns; questions that need few ask for those.
+    """
 
     raw_files: DataFrame
     raw_symbols: DataFrame
@@ -32,31 +38,55 @@ class Graph:
     def files(self) -> DataFrame:
         return first_seen(self.raw_files).select(F.col("file_id").alias("id"), "path")
 
+    def symbols_with(self, *columns: str) -> DataFrame:
+        return self.raw_symbols.select("id", *columns).distinct()
+
+    def references_with(self, *columns: str) -> DataFrame:
+        return self.raw_references.select("id", *columns).distinct()
+
+    def imports_with(self, *columns: str) -> DataFrame:
+        return self.raw_imports.select("id", *columns).distinct()
+
     @cached_property
     def symbols(self) -> DataFrame:
-        return self.raw_symbols.select(*SYMBOL).distinct()
+        return self.symbols_with(*SYMBOL[1:])
 
     @cached_property
     def references(self) -> DataFrame:
-        return self.raw_references.select(*REFERENCE).distinct()
+        return self.references_with(*REFERENCE[1:])
 
     @cached_property
     def imports(self) -> DataFrame:
-        return self.raw_imports.select(*IMPORT).distinct()
+        return self.imports_with(*IMPORT[1:])
+
+    def placed_with(self, *columns: str) -> DataFrame:
+        """Symbols with these columns and the path of their file."""
+        return self.symbols_with("file_id", *columns).join(self.paths, "file_id")
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        return self.files.select(F.col("id").alias("file_id"), F.col("path").alias("file"))
 
     @cached_property
     def placed(self) -> DataFrame:
         """Symbols with the path of their file."""
-        return self.symbols.join(self.files.select(F.col("id").alias("file_id"), F.col("path").alias("file")), "file_id")
+        return self.symbols.join(self.paths, "file_id")
+
+    @cached_property
+    def outgoing_raw(self) -> DataFrame:
+        """References under the names used for answers, as delivered, some of them twice."""
+        return self.raw_references.where(F.col("id").isNotNull()).select(
+            F.col("id").alias("ref_id"), "from_symbol_id", F.col("to_symbol_name").alias("to_symbol"), F.col("to_symbol_bare_name").alias("to_bare"),
+            F.col("kind").alias("ref_kind"), F.col("line").alias("ref_line"), F.col("col").alias("ref_col"),
+        )
 
     @cached_property
     def calls(self) -> DataFrame:
         """References with the name, kind, line and file of the symbol they stand in."""
-        owner = self.placed.select(F.col("id").alias("from_symbol_id"), F.col("name").alias("from_symbol"), F.col("kind").alias("from_kind"), F.col("file").alias("from_file"), F.col("line_start").alias("from_line"))
-        refs = self.references.select(
-            F.col("id").alias("ref_id"), "from_symbol_id", F.col("to_symbol_name").alias("to_symbol"), F.col("to_symbol_bare_name").alias("to_bare"), F.col("kind").alias("ref_kind"), F.col("line").alias("ref_line"), F.col("col").alias("ref_col")
+        owners = self.placed_with("name", "kind", "line_start").select(
+            F.col("id").alias("from_symbol_id"), F.col("name").alias("from_symbol"), F.col("kind").alias("from_kind"), F.col("file").alias("from_file"), F.col("line_start").alias("from_line")
         )
-        return refs.join(owner, "from_symbol_id")
+        return self.outgoing_raw.distinct().join(owners, "from_symbol_id")
 
     def register(self) -> None:
         """Temporary views of the relations for use from SQL."""
