@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from codelode.llm.leaks import Plan, edit_distance, leaked_passages, words
+from codelode.llm.leaks import Plan, edit_distance, leaked_passages, walks_for, words
 
 DOCS, ITEMS = "doc_id long, text string, at int, win string", "item_id long, text string, n int"
 
@@ -46,30 +47,55 @@ def test_equal_windows_are_all_found(spark):
     assert got == brute(docs, items) and len(got) > 30
 
 
-def test_recall_one_edit_away(spark):
-    rnd = random.Random(5)
-    vocab = [f"v{i}" for i in range(3000)]
-    items = [(i, " ".join(rnd.sample(vocab, 20)), 0) for i in range(150)]
-    docs = []
+def one_edit_apart(docs, items, most=1):
+    """All pairs whose item has a window at most one edit from some stretch of the document, by brute force."""
+    out = set()
     for i, t, _ in items:
-        w = t.split()
-        at = rnd.randrange(20)
-        edit = rnd.choice(["swap", "drop", "add"])
-        w[at : at + 1] = {"swap": ["other"], "drop": [], "add": [w[at], "other"]}[edit]
-        docs.append((i, " ".join(w), 0, ""))
-    got = {(r["doc_id"], r["item_id"]) for r in leaked_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), plan=Plan()).collect()}
-
-    def windows(t):
-        w = np.array([hash(x) for x in t.split()])
-        return np.stack([w[k : k + 13] for k in range(len(w) - 12)])
-
-    def near(a, b):
-        a, b = windows(a), windows(b)
-        return edit_distance(np.repeat(a, len(b), 0), np.tile(b, (len(a), 1))).min() <= 1
-
-    # A word put in or left out mid-window is two edits between windows of equal length.
-    want = {i for (i, t, _), (_, d, _, _) in zip(items, docs) if near(t, d)}
-    assert all(a == b and a in want for a, b in got) and len(got) >= 0.9 * len(want) > 100
+        w = np.array([hash(x) for x in words(t)])
+        n = min(13, len(w))
+        own = np.stack([w[k : k + n] for k in range(len(w) - n + 1)])
+        for d, body, _, _ in docs:
+            v = np.array([hash(x) for x in words(body)])
+            for m in (n - 1, n, n + 1):
+                if len(v) < m:
+                    continue
+                there = np.stack([v[k : k + m] for k in range(len(v) - m + 1)])
+                if edit_distance(np.repeat(own, len(there), 0), np.tile(there, (len(own), 1)), 1).min() <= most:
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("edit", ["swap", "drop", "add"])
+def test_recall_one_edit_away_at_every_place(spark, edit):
+    rnd = random.Random(5)
+    vocab = [f"v{i}" for i in range(9000)]
+    items, docs = [], []
+    for size in (6, 8, 13, 20, 40):
+        for at in range(size):
+            for _ in range(max(1, 40 // size)):
+                w = rnd.sample(vocab, size)
+                items.append((len(items), " ".join(w), 0))
+                w = w[:at] + {"swap": ["other"], "drop": [], "add": [w[at], "other"]}[edit] + w[at + 1 :]
+                docs.append((len(docs), " ".join(["before", *w, "after"]), 0, ""))
+    got = {(r["doc_id"], r["item_id"]) for r in leaked_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    for size in (6, 8, 13, 20, 40):
+        mine = [i for i in items if len(i[1].split()) == size]
+        want = set().union(*(one_edit_apart([docs[i[0]]], [i]) for i in mine))
+        # Every edit is one that the brute force sees too.
+        assert len(want) == len(mine)
+        assert len(got & want) >= 0.9 * len(want), (size, len(got & want), len(want))
+    assert all(a == b for a, b in got)
+
+
+def test_blocks_give_what_one_filter_gives(spark):
+    docs, items = corpus(3)
+    docs, items = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    one, many = (sorted(map(tuple, leaked_passages(docs, items, filter_bits=b).collect())) for b in (1 << 27, 1 << 14))
+    assert one == many
+
+
+def test_walks_grow_with_the_recall():
+    assert walks_for([6, 13], Plan(target_recall=0.7)) <= walks_for([6, 13], Plan(target_recall=0.97)) and walks_for([3], Plan()) == 1
 
 
 def test_edit_distance():
