@@ -6,6 +6,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -13,25 +14,53 @@ from pyspark.sql import functions as F
 
 from codelode.session import spread_out
 
-#: Bounds of the training text: labelled documents per language, and characters per language.
+#: Bounds of the training text: labelled documents per language, characters of each, and characters per language.
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 20_000
+#: Ids are first drawn by a threshold on their hash, this many times as many as are wanted.
+DRAW = 8
+#: Texts of about so many characters are judged together.
+BATCH_CHARS = 1 << 20
 #: Below this margin between the best and the second language a sentence goes by its neighbours.
 SURE = 0.2
-#: Sentences of fewer words than this are no evidence of their own.
-LEAST_WORDS = 4
+#: Sentences of fewer words need a margin that is larger by SHORT for each word they lack.
+LEAST_WORDS, SHORT = 4, 0.1
+#: In a document without any certain sentence the sum over its whole sentences decides, from this margin on.
+TOGETHER = 0.1
 
-# Codes and English names by which labels name a language.
+# Codes and English names by which labels name a language. Languages of the
+# samples that are not listed go by the code that the samples use.
 NAMES = {
+    "bg": "bg bul bulgarian",
+    "ca": "ca cat catalan",
+    "cs": "cs ces cze czech",
+    "da": "da dan danish",
     "de": "de deu ger german",
+    "el": "el ell gre greek",
     "en": "en eng english",
     "es": "es spa spanish castilian",
+    "et": "et est estonian",
+    "fi": "fi fin finnish",
     "fr": "fr fra fre french",
+    "hr": "hr hrv croatian",
+    "hu": "hu hun hungarian",
+    "id": "id ind indonesian",
     "it": "it ita italian",
+    "ja": "ja jpn japanese",
+    "ko": "ko kor korean",
+    "lt": "lt lit lithuanian",
+    "lv": "lv lav latvian",
     "nl": "nl nld dut dutch flemish",
     "pl": "pl pol polish",
     "pt": "pt por portuguese",
+    "ro": "ro ron rum romanian",
     "ru": "ru rus russian",
+    "sk": "sk slk slo slovak",
+    "sl": "sl slv slovenian slovene",
     "sv": "sv swe swedish",
+    "tr": "tr tur turkish",
+    "uk": "uk ukr ukrainian",
+    "vi": "vi vie vietnamese",
+    "zh": "zh zho chi chinese",
 }
 
 FENCE = regex.compile(r"^\s*(?:>\s*)*(?:```|~~~)")
@@ -44,24 +73,36 @@ CODE = regex.compile(
 )
 END = regex.compile(r"(?<=[.!?…。！？][\"'”’»)\]]{0,2})\s+(?=\S)")
 ENDS = regex.compile(r"[.!?…。！？][\"'”’»)\]*_]{0,3}$")
-# What is no language: code in backticks, addresses, and words with digits, inner capitals, underscores, dots or slashes.
-ALIEN = regex.compile(r"`[^`]*`|\b\w+://\S+|\S*(?:[\d_/\\@#$%^&*+=<>{}|~]|\p{Ll}\p{Lu}|\w\.\w|\w\(\))\S*|\b\p{ASCII}[a-z]{3,}-[a-z]{4,}\b")
+# What is no language: code in backticks, addresses, words in two parts, and words with digits, inner capitals, underscores, dots or slashes.
+QUOTED = regex.compile(r"`[^`]*`|\b\w+://\S+")
+ALIEN = regex.compile(r"[\d_/\\@#$%^&*+=<>{}|~]|\p{Ll}\p{Lu}|\w\.\w|\w\(\)")
+PAIRED = regex.compile(r"\b\p{ASCII}[a-z]{3,}-[a-z]{4,}\b")
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 
 
-def named_language(label: Column) -> Column:
+def named_language(label: Column, names: dict[str, str] = NAMES) -> Column:
     """The language that a label names, by code or English name, in any case, with or without region; else null."""
     plain = F.lower(F.regexp_replace(label, r"(?U)^\s+|\s+$", ""))
     head = F.element_at(F.split(plain, r"[-_. (]"), 1)
-    out = F.lit(None).cast("string")
-    for code, words in NAMES.items():
-        out = F.when(head.isin(*words.split()), code).otherwise(out)
-    return out
+    table = {word: code for code, words in names.items() for word in words.split()}
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[head]
+
+
+def known_names(samples: DataFrame) -> dict[str, str]:
+    """NAMES, and the languages of the samples that it lacks under their own code."""
+    codes = [r[0] for r in samples.select("lang").dropna().distinct().collect()]
+    return NAMES | {c: c.strip().lower() for c in sorted(codes) if c.strip() and c not in NAMES}
 
 
 def plain(sentence: str) -> str:
     """Only the words of a language, in lower case, single spaces, a space at both ends."""
-    return f" {' '.join(WORD.findall(ALIEN.sub(' ', sentence))).lower()} "
+    if "`" in sentence or "://" in sentence:
+        sentence = QUOTED.sub(" ", sentence)
+    if ALIEN.search(sentence):
+        sentence = " ".join([w for w in sentence.split() if not ALIEN.search(w)])
+    if "-" in sentence:
+        sentence = PAIRED.sub(" ", sentence)
+    return f" {' '.join(WORD.findall(sentence))} ".lower()
 
 
 def prose(text: str) -> list[tuple[int, int, int, str, bool]]:
@@ -181,22 +222,76 @@ class Automaton:
 
 
 class Model:
-    """One automaton per language."""
+    """One automaton per language, laid out as one table, so that many sentences are parsed a character at a time together."""
 
     def __init__(self, texts: dict[str, str]) -> None:
-        self.automata = {k: Automaton(v) for k, v in sorted(texts.items())}
+        self.languages = sorted(texts)
+        automata = [Automaton(texts[k]) for k in self.languages]
+        self.bits = np.array([a.bits for a in automata])
+        self.codes = {c: i + 1 for i, c in enumerate(sorted(set().union(*map(set, texts.values()))))}
+        # Each language numbers its own letters, so that the table has few columns; 0 is a letter that it lacks.
+        local = [{c: i + 1 for i, c in enumerate(sorted(set(texts[k])))} for k in self.languages]
+        self.width = 1 + max(map(len, local), default=0)
+        self.local = np.zeros((len(automata), len(self.codes) + 1), np.int32)
+        sizes = [len(a.next) + 1 for a in automata]
+        first = np.cumsum([0, *sizes])[:-1]
+        self.table = np.full(sum(sizes) * self.width, -1, np.int32)
+        for k, a in enumerate(automata):
+            for c, i in local[k].items():
+                self.local[k, self.codes[c]] = i
+            for state, after in enumerate(a.next):
+                for c, to in after.items():
+                    self.table[(first[k] + state) * self.width + local[k][c]] = first[k] + to
+        # The last state of each language is that of a letter it lacks, from which nothing goes on.
+        self.lost = (first + np.array(sizes, int) - 1).astype(np.int32) if automata else np.empty(0, np.int32)
+        self.roots = first.astype(np.int32)
         self.known: dict[str, tuple[str, float]] = {}
 
-    def judge(self, words: str) -> tuple[str, float]:
-        """(language, margin): the language that needs the fewest normalised phrases, and by what share fewer than the next."""
-        got = self.known.get(words)
-        if got is None:
-            costs = sorted((a.cost(words), k) for k, a in self.automata.items())
-            got = (costs[0][1], 1 - costs[0][0] / costs[1][0] if len(costs) > 1 else 1.0)
-            if len(self.known) >= 100_000:
-                self.known.clear()
-            self.known[words] = got
-        return got
+    def costs(self, sentences: list[str]) -> np.ndarray:
+        """Bits per character (languages x sentences)."""
+        sizes = np.array([len(w) for w in sentences])
+        order = np.argsort(-sizes, kind="stable")
+        starts = (np.cumsum(sizes) - sizes)[order]
+        text = np.array([self.codes.get(c, 0) for w in sentences for c in w], np.int32)
+        phrases = np.zeros((len(self.languages), len(sentences)), np.int32)
+        state = np.repeat(self.lost[:, None], len(sentences), axis=1)
+        longest_first = sizes[order]
+        for t in range(longest_first[0] if len(sentences) else 0):
+            n = int(np.searchsorted(-longest_first, -t, "left"))
+            letter = self.local[:, text[starts[:n] + t]]
+            step = self.table[state[:, :n] * self.width + letter]
+            fresh = step < 0
+            phrases[:, :n] += fresh
+            again = self.table[self.roots[:, None] * self.width + letter]
+            state[:, :n] = np.where(fresh, np.where(again < 0, self.lost[:, None], again), step)
+        out = np.empty(phrases.shape)
+        out[:, order] = phrases * self.bits[:, None] / longest_first[None, :]
+        return out
+
+    def judge_all(self, sentences: list[str]) -> list[tuple[str, float]]:
+        """(language, margin) of each: the language that needs the fewest normalised phrases, and by what share fewer than the next."""
+        if len(self.known) >= 100_000:
+            self.known.clear()
+        new = list({w for w in sentences if w not in self.known})
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            costs = self.costs(part)
+            best = np.argmin(costs, axis=0)
+            low = np.sort(costs, axis=0)
+            margin = 1 - low[0] / low[1] if len(costs) > 1 else np.ones(len(part))
+            self.known.update((w, (self.languages[b], float(m))) for w, b, m in zip(part, best, margin))
+        return [self.known[w] for w in sentences]
+
+    def together(self, sentences: list[str]) -> tuple[str, float]:
+        """The same for the sum over several sentences."""
+        sums = self.costs(sentences) @ np.array([len(w) for w in sentences])
+        order = np.argsort(sums, kind="stable")
+        return self.languages[order[0]], 1 - sums[order[0]] / sums[order[1]] if len(sums) > 1 else 1.0
+
+
+def certain(words: str, margin: float) -> bool:
+    """Whether a sentence tells its language by itself; the shorter it is, the more clearly it must."""
+    return margin >= SURE + SHORT * max(0, LEAST_WORDS - (words.count(" ") - 1))
 
 
 def training_texts(samples: list[tuple[str, str]], labelled: list[tuple[int, str, str]]) -> dict[str, str]:
@@ -227,7 +322,8 @@ def training_texts(samples: list[tuple[str, str]], labelled: list[tuple[int, str
         return texts
 
     def agreed(models: list[Model], tolerance: float) -> list[tuple[int, str, str]]:
-        judged = [(doc_id, lang, words, *models[doc_id % len(models)].judge(words)) for doc_id, lang, words in heard]
+        said_by = [m.judge_all([words for _, _, words in heard]) for m in models]
+        judged = [(doc_id, lang, words, *said_by[doc_id % len(models)][i]) for i, (doc_id, lang, words) in enumerate(heard)]
         said: dict[int, Counter[str]] = defaultdict(Counter)
         for doc_id, _, words, got, _ in judged:
             said[doc_id][got] += len(words)
@@ -245,21 +341,29 @@ def training_texts(samples: list[tuple[str, str]], labelled: list[tuple[int, str
     return joined(agreed(halves, SURE))
 
 
-def segments_of(text: str, model: Model) -> list[tuple[int, int, str, float, int, int]]:
-    """(start, end, language, confidence, sentences, sure): the stretches of one language in a text, in order.
+def segments_of(read: list[tuple[int, int, int, str, bool]], told: list[tuple[str, float]], model: Model) -> list[tuple[int, int, str, float, int, int]]:
+    """(start, end, language, confidence, sentences, sure): the stretches of one language in a text, in order, from its prose and what each sentence was judged.
 
-    ``sure`` counts the whole sentences whose language was decided by themselves.
+    ``sure`` counts the whole sentences whose language was decided by themselves, or, where
+    no sentence of the text is certain, by all of them together.
     """
-    found = [(p, a, b, w, whole, *model.judge(w)) for p, a, b, w, whole in prose(text)]
+    found = [(*sentence, *judged) for sentence, judged in zip(read, told)]
     weight: Counter[str] = Counter()
     near: dict[int, Counter[str]] = defaultdict(Counter)
-    certain = [margin >= SURE and words.count(" ") > LEAST_WORDS for _, _, _, words, _, _, margin in found]
-    for (p, _, _, words, _, lang, margin), ok in zip(found, certain):
+    sure = [certain(words, margin) for _, _, _, words, _, _, margin in found]
+    if not any(ok and whole for ok, (_, _, _, _, whole, _, _) in zip(sure, found)):
+        # No whole sentence tells its language by itself, but all of them together may.
+        whole_ones = [words for _, _, _, words, whole, _, _ in found if whole]
+        lang, margin = model.together(whole_ones) if whole_ones else ("", 0.0)
+        if margin >= TOGETHER and sum(w.count(" ") - 1 for w in whole_ones) >= LEAST_WORDS:
+            sure = [whole for _, _, _, _, whole, _, _ in found]
+            found = [(p, a, b, words, whole, lang, margin) if whole else (p, a, b, words, whole, own, m) for p, a, b, words, whole, own, m in found]
+    for (p, _, _, words, _, lang, margin), ok in zip(found, sure):
         if ok:
             weight[lang] += len(words)
             near[p][lang] += len(words)
     out: list[list] = []
-    for (p, a, b, words, whole, lang, margin), ok in zip(found, certain):
+    for (p, a, b, words, whole, lang, margin), ok in zip(found, sure):
         if not ok:
             around = near[p] or weight
             lang = around.most_common(1)[0][0] if around else lang
@@ -275,12 +379,29 @@ _models: dict[tuple, Model] = {}
 
 
 def fitted(documents: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> dict[str, str]:
-    """The training texts, from all samples and a bounded sample of labelled documents: the SAMPLE_DOCS of each language whose ids hash lowest."""
-    rows = documents.select(F.col(doc_id).cast("long").alias("_doc"), named_language(F.col(label)).alias("_lang"), F.xxhash64(doc_id).alias("_draw"), F.col(text).alias("_text")).dropna()
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_draw", "_doc", "_text"))
-    labelled = [tuple(r) for r in rows.withColumn("_at", place).where(F.col("_at") <= SAMPLE_DOCS).select("_doc", "_lang", "_text").collect()]
-    shown = samples.select("lang", "text").dropna().distinct().limit(100_000).collect()
-    return training_texts([tuple(r) for r in shown], labelled)
+    """The training texts, from the samples and a bounded sample of labelled documents.
+
+    Of each language those SAMPLE_DOCS documents count whose ids hash lowest. Ids are drawn
+    before any text is read: per language a threshold on the hash leaves DRAW times as many
+    as are wanted, of which the lowest are taken; only their texts are fetched, the first
+    SAMPLE_CHARS characters of each. Of the samples those count that hash lowest, too, as many as
+    fill SAMPLE_CHARS characters of a language. This is the classifier's whole training
+    text, and all that reaches the driver.
+    """
+    names = known_names(samples)
+    drawn = documents.select(F.col(doc_id).cast("long").alias("_doc"), named_language(F.col(label), names).alias("_lang"), F.xxhash64(doc_id).alias("_draw"), F.col(text).isNotNull().alias("_told"))
+    drawn = drawn.where("_told").drop("_told").dropna()
+    sizes = drawn.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    # The hash runs over all 64-bit integers; its share below the threshold is DRAW * SAMPLE_DOCS / n.
+    share = F.least(F.lit(1.0), F.lit(float(DRAW * SAMPLE_DOCS)) / F.col("_n"))
+    few = drawn.join(F.broadcast(sizes), "_lang").where(F.shiftright("_draw", 1) / F.lit(2.0**63) + 0.5 <= share)
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_draw", "_doc"))
+    ids = few.select("_lang", "_doc", "_draw").distinct().withColumn("_at", place).where(F.col("_at") <= SAMPLE_DOCS).select("_doc", "_lang")
+    texts = documents.select(F.col(doc_id).cast("long").alias("_doc"), F.substring(text, 1, SAMPLE_CHARS).alias("_text")).dropna()
+    labelled = [tuple(r) for r in texts.join(F.broadcast(ids), "_doc").select("_doc", "_lang", "_text").distinct().collect()]
+    long = F.sum(F.length("text") + 1).over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, -1))
+    shown = samples.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).dropna().distinct().withColumn("_before", F.coalesce(long, F.lit(0)))
+    return training_texts([tuple(r) for r in shown.where(F.col("_before") < SAMPLE_CHARS).select("lang", "text").collect()], labelled)
 
 
 def language_segments(documents: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
@@ -301,7 +422,14 @@ def language_segments(documents: DataFrame, samples: DataFrame, doc_id: str = "d
             _models[key] = Model(shared.value)
         model = _models[key]
         for batch in batches:
-            out = [(d, i, *s) for d, t in zip(batch["_doc"], batch["_text"]) for i, s in enumerate(segments_of(t, model))]
+            out = []
+            group = (batch["_text"].str.len().cumsum() // BATCH_CHARS).to_numpy()
+            for g in np.unique(group):
+                part = batch[group == g]
+                read = [prose(t) for t in part["_text"]]
+                # Sentences of many texts are judged together.
+                told = iter(model.judge_all([w for r in read for _, _, _, w, _ in r]))
+                out += [(d, i, *s) for d, r in zip(part["_doc"], read) for i, s in enumerate(segments_of(r, [next(told) for _ in r], model))]
             yield pd.DataFrame(out, columns=["doc_id", "segment", "start", "end", "lang", "confidence", "n_sentences", "n_sure"])
 
     schema = "doc_id long, segment int, start long, end long, lang string, confidence double, n_sentences int, n_sure int"
@@ -311,7 +439,7 @@ def language_segments(documents: DataFrame, samples: DataFrame, doc_id: str = "d
     return spread_out(rows, "_doc").mapInPandas(find, schema).distinct()
 
 
-def document_languages(segments: DataFrame, documents: DataFrame, doc_id: str = "doc_id", label: str = "lang") -> DataFrame:
+def document_languages(segments: DataFrame, documents: DataFrame, doc_id: str = "doc_id", label: str = "lang", names: dict[str, str] = NAMES) -> DataFrame:
     """(doc_id, lang, confidence, labelled): the language of most of a document's prose, null without prose, and the one its label names.
 
     confidence is the mean confidence of that language's stretches times its share of the prose.
@@ -319,12 +447,12 @@ def document_languages(segments: DataFrame, documents: DataFrame, doc_id: str =
     size = F.col("end") - F.col("start")
     per = segments.groupBy("doc_id", "lang").agg(F.sum(size).alias("size"), (F.sum(F.col("confidence") * size) / F.sum(size)).alias("mean"))
     best = per.groupBy("doc_id").agg(F.max(F.struct("size", "lang", "mean")).alias("b"), F.sum("size").alias("all"))
-    ids = documents.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.min(named_language(F.col(label))).alias("labelled"))
+    ids = documents.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.min(named_language(F.col(label), names)).alias("labelled"))
     return ids.join(best, "doc_id", "left").select("doc_id", F.col("b.lang").alias("lang"), F.coalesce(F.col("b.mean") * F.col("b.size") / F.col("all"), F.lit(0.0)).alias("confidence"), "labelled")
 
 
-def unlabelled_languages(segments: DataFrame, documents: DataFrame, doc_id: str = "doc_id", label: str = "lang") -> DataFrame:
+def unlabelled_languages(segments: DataFrame, documents: DataFrame, doc_id: str = "doc_id", label: str = "lang", names: dict[str, str] = NAMES) -> DataFrame:
     """(doc_id, lang): languages with a whole sentence in a document whose label does not name them."""
-    labels = documents.select(F.col(doc_id).cast("long").alias("doc_id"), named_language(F.col(label)).alias("_named")).where(F.col("doc_id").isNotNull() & F.col("_named").isNotNull()).distinct()
+    labels = documents.select(F.col(doc_id).cast("long").alias("doc_id"), named_language(F.col(label), names).alias("_named")).where(F.col("doc_id").isNotNull() & F.col("_named").isNotNull()).distinct()
     held = segments.where(F.col("n_sure") > 0).select("doc_id", "lang").distinct()
     return held.join(labels, (held["doc_id"] == labels["doc_id"]) & (held["lang"] == labels["_named"]), "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm.handwritten import not_handwritten
-from codelode.llm.language import document_languages, language_segments, unlabelled_languages
+from codelode.llm.language import document_languages, known_names, language_segments, unlabelled_languages
 from codelode.llm.leaks import leaked_passages
 from codelode.llm.mixing import mix
 from codelode.llm.pairs import documented_functions
@@ -49,8 +49,8 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    documents = load(spark, folder, "documents")
-    return unlabelled_languages(language_segments(documents, load(spark, folder, "lang_samples")), documents)
+    documents, samples = load(spark, folder, "documents"), load(spark, folder, "lang_samples")
+    return unlabelled_languages(language_segments(documents, samples), documents, names=known_names(samples))
 
 
 def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,9 +59,9 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
     """One language per document, with a confidence, beside the one its label names."""
-    documents = load(spark, folder, "documents")
-    segments = cut(language_segments(documents, load(spark, folder, "lang_samples")))
-    return document_languages(segments, documents).withColumn("confidence", F.round("confidence", 6))
+    documents, samples = load(spark, folder, "documents"), load(spark, folder, "lang_samples")
+    segments = cut(language_segments(documents, samples))
+    return document_languages(segments, documents, names=known_names(samples)).withColumn("confidence", F.round("confidence", 6))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_reasons, p6_found, p6_leaks, p7_copies, p7_shares, p8_found, p8_segments, p8_documents)}

@@ -1,6 +1,8 @@
 import random
 
-from codelode.llm.language import NAMES, Automaton, document_languages, language_segments, plain, prose, unlabelled_languages
+from codelode.llm.language import (
+    NAMES, SAMPLE_CHARS, Automaton, Model, document_languages, fitted, known_names, language_segments, plain, prose, unlabelled_languages,
+)
 
 DOCS, SAMPLES = "doc_id long, text string, lang string, segment int", "sample_id long, lang string, text string"
 SENTENCES = {
@@ -79,3 +81,38 @@ def test_labels(spark):
     labels = [("EN", "en"), ("en-GB", "en"), ("deu", "de"), ("German", "de"), (" pt_BR ", "pt"), ("xx", None), ("", None), (None, None), ("und", None), ("-", None), ("n/a", None)]
     got = [r[0] for r in spark.createDataFrame([(x,) for x, _ in labels], "l string").select(named_language(F.col("l"))).collect()]
     assert got == [y for _, y in labels] and set(NAMES) >= {"en", "ru"}
+
+
+def test_many_sentences_are_judged_as_one_by_one():
+    rnd = random.Random(2)
+    texts = {k: "".join(plain(t) for t in ts) for k, ts in SENTENCES.items()}
+    model, automata = Model(texts), {k: Automaton(t) for k, t in texts.items()}
+    some = ["".join(rnd.choice("abcdeñß я") for _ in range(rnd.randrange(1, 60))) for _ in range(200)] + [plain(t) for ts in SENTENCES.values() for t in ts]
+    costs = model.costs(some)
+    assert all(abs(costs[i, j] - automata[k].cost(w)) < 1e-9 for i, k in enumerate(model.languages) for j, w in enumerate(some))
+    assert model.judge_all(some)[-1][0] == "fr" and model.judge_all([]) == []
+
+
+def test_short_sentences_count_if_they_are_clear(spark):
+    docs = spark.createDataFrame([(1, "Niemand weiß warum.", "en", 0), (2, "Nobody knows why.", "de", 0), (3, "Ok.", "fr", 0)], DOCS)
+    found = {(r["doc_id"], r["lang"]) for r in unlabelled_languages(language_segments(docs, training(spark)), docs).collect()}
+    assert {(1, "de"), (2, "en")} <= found
+
+
+def test_a_language_that_is_not_listed(spark):
+    finnish = ["Kansiossa on paljon tiedostoja, joita kukaan ei enää tarvitse.", "Kysy ensin, ennen kuin poistat koko kansion.", "Kukaan ei tiedä, miksi tämä osa kirjoitettiin kahdesti.", "Ei ole mitään hyvää syytä odottaa lukkoa."]
+    samples = training(spark).union(spark.createDataFrame([(20, "qfi", t) for t in finnish], SAMPLES))
+    docs = spark.createDataFrame([(1, " ".join(finnish), "QFI-fi", 0), (2, " ".join(finnish), "en", 0), (3, " ".join(SENTENCES["en"]), "en", 0)], DOCS)
+    names = known_names(samples)
+    assert names["qfi"] == "qfi" and names["fi"].split()[0] == "fi"
+    segments = language_segments(docs, samples)
+    assert {(r["doc_id"], r["lang"]) for r in segments.select("doc_id", "lang").distinct().collect()} == {(1, "qfi"), (2, "qfi"), (3, "en")}
+    assert {(r["doc_id"], r["lang"]) for r in unlabelled_languages(segments, docs, names=names).collect()} == {(2, "qfi")}
+
+
+def test_the_sample_is_bounded_and_the_same_every_time(spark):
+    docs = spark.createDataFrame([(i, f"{SENTENCES['en'][i % 4]} Number {i} is here too.", "en", 0) for i in range(3000)], DOCS)
+    many = spark.range(100_001).selectExpr("id AS sample_id", "'en' AS lang", "concat('Sample text of number ', id, '.') AS text")
+    samples = training(spark).unionByName(many)
+    one, two = fitted(docs, samples), fitted(docs.repartition(7), samples.repartition(5))
+    assert one == two and all(len(t) <= 3 * SAMPLE_CHARS for t in one.values())
