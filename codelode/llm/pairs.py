@@ -7,33 +7,52 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import spread_out
+
 # A record or a source text is read as: comment, signature, body. Brackets are matched by
 # recursion, and what stands in quotes is passed over whole, so a brace or comment mark
-# inside a string neither opens nor closes anything. \x02 ... \x03 frame the
-# documentation of a record, whose own marks may be missing or unbalanced.
-PAIR = regex.compile(
-    r"""(?msx)
+# inside a string neither opens nor closes anything. The lines of a comment are captured
+# without their marks. \x02 ... \x03 frame the documentation of a record, whose own marks
+# may be missing or unbalanced.
+GRAMMAR = r"""
     (?(DEFINE)
       (?P<quoted> "(?:\\.|[^"\\\n])*+" | '(?:\\.|[^'\\\n])*+' | `(?:\\.|[^`\\])*+` )
       (?P<note> /\*.*?\*/ | //[^\n]*+ )
       (?P<round> \( (?: [^()"'`/]++ | (?&quoted) | (?&note) | (?&round) | ["'`/] )*+ \) )
       (?P<curly> \{ (?: [^{}"'`/]++ | (?&quoted) | (?&note) | (?&curly) | ["'`/] )*+ \} )
+      (?P<opening> [^\S\n]*+ (?: /\*+!? | \*+/ | \"{3} | '{3} | //[/!]? | --+(?=\s|$|\x03) | \#+!? | \*+ | ;+ | %+ | <!-- ) )
+      (?P<closing> [^\S\n]*+ (?: \*+/ | --> | \"{3} | '{3} ) )
     )
+"""
+LINE = r"""(?: (?&opening)*+ [^\S\n]*+ (?P<line> (?: [^\s\x03*"'-]++ | (?! (?&closing)++ [^\S\n]*+ [\n\x03] ) [^\n\x03] )*+ ) (?&closing)*+ [^\S\n]*+ )"""
+PAIR = regex.compile(
+    r"(?msx)"
+    + GRAMMAR
+    + rf"""
     (?P<comment>
-        \x02 [^\x03]*+ \x03
-      | ^[ \t]*+ /\*\* .*? \*/
-      | (?: ^[ \t]*+ (?: // | \# | -- ) [^\n]*+ \n )++
+        \x02 {LINE} (?= [\n\x03] ) (?: \n {LINE} (?= [\n\x03] ) )*+ \x03
+      | ^[ \t]*+ (?= /\*\* ) (?P<block> /\*\* .*? \*/ )
+      | (?P<block> (?: ^[ \t]*+ (?: // | \# | -- ) [^\n]*+ \n )++ )
     )
     \s*+
-    (?P<signature> (?: (?&quoted) | (?&round) | [^\n{;\x02\x03] )++ )
+    (?P<signature> (?: (?&quoted) | (?&round) | [^\n{{;\x02\x03] )++ )
     \s*+
     (?P<body> (?&curly) )?+
     """
 )
+# The same for a string that follows the signature, its body being what is indented as the string is.
+INSIDE = regex.compile(
+    r"(?msx)"
+    + GRAMMAR
+    + r"""
+    ^(?P<outer> [ \t]*+ ) (?: async [ ]+ )?+ (?P<signature> def [ ]++ \w++ \s*+ (?&round) [^\n:]*+ ) : [^\n]*+ \n
+    (?P<inner> (?P=outer) [ \t]++ ) [rRuU]?+ (?P<block> \"{3} (?: \\. | (?! \"{3} ) . )*+ \"{3} | '{3} (?: \\. | (?! '{3} ) . )*+ '{3} )
+    (?P<body> (?: \n (?: (?P=inner) [^\n]*+ | [ \t]*+ (?=\n) ) )*+ )
+    """
+)
 #: Of a source text only signatures of this form count: a named thing with a parameter list.
-CALLABLE = regex.compile(r"(?x) (?(DEFINE) (?P<round> \( (?: [^()]++ | (?&round) )*+ \) )) [\w$~]+ \s* (?: <[^()]*> )? \s* (?&round)")
+CALLABLE = regex.compile(r"(?x) (?(DEFINE) (?P<round> \( (?: [^()]++ | (?&round) )*+ \) )) (?P<name>[\w$~]+) \s* (?: <[^()]*> )? \s* (?&round)")
 
-MARKS = regex.compile(r'^\s*(?:/\*+!?|\*+/|"""|\'\'\'|//[/!]?|--+(?=\s|$)|#+!?|\*+|;+|%+|<!--)|\s*(?:\*+/|"""|\'\'\'|-->)\s*$')
 TOOLS = regex.compile(
     r"(?i)^\W*(?:eslint|pylint|flake8|noqa|nolint|mypy|pyright|type:\s*ignore|prettier|clang-|clang:|ts-|@ts-|tslint|jshint|jslint|stylelint|istanbul|c8 ignore|v8 ignore"
     r"|coverage:|pragma|nosonar|nosec|rubocop|checkstyle|spotless|spotbugs|noinspection|fmt:|yapf:|isort:|ruff:|black:|biome-|deno-|swiftlint|ktlint|detekt|phpcs|phpstan|psalm"
@@ -64,7 +83,7 @@ GENERIC = frozenset(
     """a an the this that these those it its is are was were be been being to of for in on at by with from as and or not no nor if then than so but do does did done doing has have had
     will would should can could may might must shall here there above below see also same like such etc via per function functions func method methods procedure routine subroutine constructor ctor
     destructor getter setter accessor mutator helper helpers utility util utils wrapper stub implementation implementations implement implements implemented impl class module file code thing things stuff
-    something anything everything somehow someone work works working job task tasks main internal private public protected external static abstract virtual default deprecated obsolete legacy unused
+    something anything everything somehow someone work works working job task tasks main internal private public protected external static abstract virtual default deprecated obsolete legacy unused non
     use uses used using usage only auto autogenerated generated generate javadoc docstring doc docs documentation document documents documented comment comments describe describes description desc summary
     brief overview note notes placeholder missing available add write insert put fill update me please later soon yet fix todo fixme tbd xxx hack wip ok okay none null nil na n yes test testing asdf foo
     bar baz qux lorem ipsum dolor sit amet short long goes needed required optional return returns returned param params parameter parameters arg args argument arguments result results value values type
@@ -77,26 +96,22 @@ GENERIC = frozenset(
 )
 WORD = regex.compile(r"\p{Lu}+(?=\p{Lu}\p{Ll})|\p{Lu}?\p{Ll}+|\p{L}\p{M}*[\p{L}\p{M}]*")
 DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
+FRAME = {2: " ", 3: " ", 13: "\n"}
+LETTER = regex.compile(r"\p{L}")
+#: What a tag for a parameter, or another one, may say that explains nothing: a type in braces, the bare name.
+NAMED, TYPED = regex.compile(r"^\s*(?:\{[^}]*\}\s*)?[\[\w$.*\]=]+\s*[-:]?"), regex.compile(r"^\s*(?:\{[^}]*\}\s*)?")
 SENTENCE = regex.compile(r"(?<=[.!?。！？])\s+")
 
 
-def clean(text: str) -> list[str]:
-    """The lines of a documentation comment without their comment marks."""
-    out = []
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        before = None
-        while before != line:
-            before, line = line, MARKS.sub("", line)
-        out.append(line.strip())
-    return out
-
-
 def stem(word: str) -> str:
     w = word.casefold()
-    for end, least in (("ing", 5), ("ies", 5), ("ed", 4), ("es", 4), ("s", 3), ("er", 5), ("or", 5)):
-        if w.endswith(end) and len(w) >= least + 1:
-            w = w[: -len(end)]
-            break
+    # A plural or a verb's third person may hide a further ending, as in "renders".
+    for ends in ((("ies", 5), ("es", 4), ("s", 3)), (("ing", 5), ("ed", 4), ("er", 5), ("or", 5))):
+        for end, least in ends:
+            if w.endswith(end) and len(w) >= least + 1:
+                w = w[: -len(end)]
+                break
+        w = w.rstrip("e") or w
     if len(w) > 3 and w[-1] == w[-2]:
         w = w[:-1]
     return w.rstrip("eyi") or w
@@ -111,20 +126,20 @@ def telling(text: str, own: set[str]) -> int:
     return n
 
 
-def informative(lines: list[str], name: str) -> bool:
+def informative(lines: list[str], *names: str) -> bool:
     """Whether some part of the comment says something about this function."""
-    own = {stem(w) for w in WORD.findall(name or "")} | {(name or "").casefold()}
+    own = {stem(w) for name in names for w in WORD.findall(name)} | {name.casefold() for name in names}
     runs: list[str] = []
     joined = False
     for line in lines:
         tag, field = TAG.match(line), FIELD.match(line)
-        if not regex.search(r"\p{L}", line) or TOOLS.match(line) or SECTION.match(line) or CODE.match(line):
+        if not LETTER.search(line) or TOOLS.match(line) or SECTION.match(line) or CODE.match(line):
             joined = False
         elif tag:
             kind, rest = tag["tag"].lower(), tag["rest"]
             if kind in PARAMETER_TAGS:
                 # The tag's own arguments, a type in braces or a bare name, explain nothing.
-                rest = regex.sub(r"^\s*(?:\{[^}]*\}\s*)?" + (r"[\[\w$.*\]=]+\s*[-:]?" if kind.startswith(("par", "arg", "tp", "prop")) and not tag["args"] else ""), "", rest)
+                rest = (NAMED if kind.startswith(("par", "arg", "tp", "prop")) and not tag["args"] else TYPED).sub("", rest)
             elif kind not in TEXT_TAGS:
                 rest = ""
             runs.append(rest)
@@ -141,31 +156,42 @@ def informative(lines: list[str], name: str) -> bool:
         for sentence in SENTENCE.split(run):
             if GENERATOR.search(sentence) or LICENCE.search(sentence) or TOOLS.match(sentence) or CODE.match(sentence):
                 continue
-            if telling(LATER.sub("", sentence), own) >= 2:
+            if telling(LATER.sub("", sentence), own):
                 return True
     return False
 
 
+def read_pair(docstring: str, signature: str) -> tuple[list[str], str]:
+    """(lines, name): the lines of a record's documentation without their marks, and the name that its signature declares, both as PAIR captures them from its comment and signature put together."""
+    frame = docstring.replace("\r\n", "\n").translate(FRAME)
+    m = PAIR.match(f"\x02{frame}\x03\n{signature.strip()}\n")
+    if not m:
+        return [], ""
+    called = CALLABLE.search(m["signature"])
+    return [line.strip() for line in m.captures("line")], called["name"] if called else ""
+
+
+def clean(text: str) -> list[str]:
+    """The lines of a documentation comment without their comment marks."""
+    return read_pair(text, "f()")[0]
+
+
 def describe(docstring: str, signature: str, name: str) -> str | None:
-    """The cleaned documentation of one record, or None if it is trivial."""
-    frame = regex.sub(r"[\x02\x03]", " ", docstring)
-    found = PAIR.match(f"\x02{frame}\x03\n{signature.strip()}")
-    comment = (found["comment"] if found else frame).strip("\x02\x03")
-    lines = clean(comment)
-    return "\n".join(lines).strip() if informative(lines, name) else None
+    """The cleaned documentation of one record, or None if it is trivial. Its own name is both that of the record and the one its signature declares."""
+    lines, declared = read_pair(docstring, signature)
+    return "\n".join(lines).strip() if informative(lines, declared, name) else None
 
 
 def pairs_in_source(text: str) -> list[tuple[str, str, str]]:
     """(signature, description, body) of each documented function in one source text."""
     out = []
-    for m in PAIR.finditer(text or ""):
+    for m in [*PAIR.finditer(text or ""), *INSIDE.finditer(text or "")]:
         signature = m["signature"].strip()
         called = CALLABLE.search(signature)
-        if not called:
+        if not called or not m["block"]:
             continue
-        name = regex.match(r"[\w$~]+", called[0])[0]
-        lines = clean(m["comment"].strip("\x02\x03"))
-        if informative(lines, name):
+        lines, _ = read_pair(m["block"], signature)
+        if informative(lines, called["name"]):
             out.append((signature, "\n".join(lines).strip(), m["body"] or ""))
     return out
 
@@ -174,7 +200,7 @@ def documented_functions(symbols: DataFrame) -> DataFrame:
     """(id, signature, description) of functions and methods whose documentation says something.
 
     Rows of other kinds, without id, or with a null or blank signature or docstring are
-    left out; so are trivial docstrings, that is those of which no sentence has two words
+    left out; so are trivial docstrings, that is those of which no sentence has a word
     beyond the function's own name and generic ones once comment marks, rule lines,
     placeholders, bare tags, notes to tools or from generators, licence notes and code
     are gone. Rows delivered twice come out once; a null name has no words. Texts of any
@@ -193,10 +219,16 @@ def documented_functions(symbols: DataFrame) -> DataFrame:
 
 
 def source_pairs(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, signature, description, body) of the documented functions in whole source texts; null and empty texts give none."""
+    """(key, signature, description, body) of the documented functions in whole source texts.
+
+    Null and empty texts and null keys give none, texts delivered twice equal rows once.
+    Functions without a comment before them, or a string within, and those whose comment
+    is trivial are left out. A text may mix prose and code of several languages.
+    """
 
     @F.pandas_udf("array<struct<signature:string,description:string,body:string>>")
     def found(t: pd.Series) -> pd.Series:
         return pd.Series([[{"signature": s, "description": d, "body": b} for s, d, b in pairs_in_source(x)] for x in t], dtype=object)
 
-    return texts.select(F.col(key), F.explode(found(F.coalesce(F.col(text), F.lit(""))))).select(key, "col.*")
+    rows = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_text"))
+    return spread_out(rows, key).select(F.col(key), F.explode(found("_text"))).select(key, "col.*").distinct()

@@ -9,7 +9,7 @@ from codelode.llm.handwritten import not_handwritten
 from codelode.llm.language import document_languages, known_names, language_segments, unlabelled_languages
 from codelode.llm.leaks import leaked_passages
 from codelode.llm.mixing import mix
-from codelode.llm.pairs import documented_functions
+from codelode.llm.pairs import documented_functions, source_pairs
 from codelode.session import cut
 from codelode.sources.tables import load
 
@@ -22,6 +22,11 @@ def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return documented_functions(load(spark, folder, "symbols"))
 
 
+def p2_source_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs that stand in the code of documents themselves."""
+    return source_pairs(load(spark, folder, "documents"), "doc_id", "text")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return not_handwritten(load(spark, folder, "files"), load(spark, folder, "symbols")).select("file_id").distinct()
 
@@ -64,7 +69,7 @@ def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
     return document_languages(segments, documents, names=known_names(samples)).withColumn("confidence", F.round("confidence", 6))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_reasons, p6_found, p6_leaks, p7_copies, p7_shares, p8_found, p8_segments, p8_documents)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p2_source_pairs, p5_found, p5_reasons, p6_found, p6_leaks, p7_copies, p7_shares, p8_found, p8_segments, p8_documents)}
 
 # What SQL can say of these: leaks are equal runs of words, found here by an equality join.
 _WORDS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda x: lower(x))"

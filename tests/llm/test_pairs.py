@@ -73,3 +73,65 @@ def test_table(spark):
     assert sorted(r["id"] for r in got.collect()) == [1, 3, 9]
     assert documented_functions(spark.createDataFrame([], schema)).count() == 0
     assert source_pairs(spark.createDataFrame([(1, None), (2, "")], "id long, text string"), "id", "text").count() == 0
+
+
+SOURCE = """
+// Joins "a { b" with the rest,
+// until both are empty.
+function join(a, b = "}") {
+  // inner { comment
+  const s = "/** not a comment */ {";
+  if (a) { return `${a} }`; }
+  return { s };
+}
+
+/* plain block, no doc */
+/** Adds two "{" up here. */
+public int add(int x, int y) { return x + y; }
+
+# Opens the socket.
+def open(self):
+    pass
+
+async def fetch(url, retries=(1, 2)):
+    \'\'\'Waits for the reply.
+
+    Gives up after the last retry.
+    \'\'\'
+    while True:
+        x = {"a": 1}
+
+    return x
+
+def fetch_all(urls):
+    \'\'\'Fetch all.\'\'\'
+    return 1
+
+/** TODO */
+void nope() { }
+"""
+
+
+def test_pairs_in_source_text():
+    got = {s: (d, b) for s, d, b in pairs_in_source(SOURCE.replace("\\'", "'"))}
+    assert set(got) == {'function join(a, b = "}")', "public int add(int x, int y)", "def open(self):", "def fetch(url, retries=(1, 2))"}
+    description, body = got['function join(a, b = "}")']
+    assert description == 'Joins "a { b" with the rest,\nuntil both are empty.' and body.endswith("return { s };\n}") and body.count("{") >= 5
+    description, body = got["def fetch(url, retries=(1, 2))"]
+    assert description.startswith("Waits for the reply.") and body.rstrip().endswith("return x") and "fetch_all" not in body
+
+
+def test_the_captures_decide(monkeypatch):
+    from codelode.llm import pairs
+
+    assert pairs.read_pair("/** Reads. */", "(r *T) readAll(a int) error") == (["Reads."], "readAll")
+    assert pairs.describe("Reads all.", "int readAll(int a)", "other") is None and pairs.describe("Opens the socket.", "open()", "open") == "Opens the socket."
+    monkeypatch.setattr(pairs, "PAIR", pairs.regex.compile(r"(?P<line>)(?P<signature>)(?!)"))
+    assert all(pairs.describe(d, "f(x)", n) is None for n, d in REAL)
+
+
+def test_source_pairs_of_a_table(spark):
+    rows = [(1, SOURCE.replace("\\'", "'"), 0), (1, SOURCE.replace("\\'", "'"), 0), (None, SOURCE, 0), (2, None, 0), (3, "no code", 0), (4, "// Counts the open slots.\nint slots() { return 1; }\n" * 3000, 0)]
+    got = source_pairs(spark.createDataFrame(rows, "id long, text string, body int"), "id", "text")
+    assert sorted(r["id"] for r in got.collect()) == [1, 1, 1, 1, 4]
+    assert source_pairs(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
