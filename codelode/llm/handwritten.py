@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.operators.skew import spread_join
-from codelode.sources.tables import first_seen, once
+from codelode.session import cut
+from codelode.sources.tables import first_seen
 
 # Directory names that tell what lies below them.
 VENDORED_DIRS = """vendor vendors vendored node_modules jspm_packages bower_components web_modules third_party third-party thirdparty 3rdparty 3rd_party 3rd-party external externals extern deps bundled
@@ -36,6 +39,8 @@ LONG_LINE, LONG_VALUE = 1000, 1000
 K, WINDOW, BLOCK_LINES, BLOCK_COLUMNS = 4, 4, 256, 4096
 #: A fingerprint recurs if this many projects hold it; a file is a copy if this share of its fingerprints do.
 MIN_PROJECTS, COPIED_SHARE = 3, 0.6
+#: Files of fewer fingerprints say too little of where they come from.
+LEAST_PRINTS = 3
 
 
 def _components(path: Column) -> Column:
@@ -99,32 +104,59 @@ def shape_reason(symbols: DataFrame) -> DataFrame:
     return per.select("file_id", shape.alias("shape")).where(F.col("shape").isNotNull())
 
 
-def fingerprints(symbols: DataFrame) -> DataFrame:
-    """(file_id, print): winnowed fingerprints of each file's stream of symbols, distinct.
+def _mixed(tokens: np.ndarray) -> np.ndarray:
+    """Hash of each run of K tokens."""
+    out = np.zeros(max(len(tokens) - K + 1, 0), np.uint64)
+    for i in range(K):
+        out = (out ^ tokens[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def winnow(tokens: np.ndarray, own: int) -> np.ndarray:
+    """The distinct least hashes of the windows of k-grams that begin at the first ``own`` tokens; windows cut short by the end count as they are."""
+    grams = _mixed(tokens)
+    padded = np.append(grams, np.full(WINDOW - 1, np.iinfo(np.uint64).max, np.uint64))
+    starts = min(own, len(grams))
+    return np.unique(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[:starts].min(axis=1)) if starts else grams[:0]
+
 
-    The token of a symbol is its kind, name and signature without case and spaces. Streams
-    are read in blocks of lines and columns, so that no task orders a whole file however
-    large it is; equal texts fall into equal blocks. Of each window of k-grams the least
-    hash is kept.
+def fingerprints(symbols: DataFrame) -> DataFrame:
+    """(file_id, print): winnowed fingerprints of each file's stream of symbols.
+
+    The token of a symbol is its kind and its name without case; parameters and what else a
+    signature holds, which differ from version to version, are left out. Streams are read in blocks of lines and
+    columns, so that no task holds the symbols of a whole file however large it is. Each
+    block is given the K + WINDOW - 2 symbols that follow it, found over the heads of the
+    blocks behind it, so no window is lost at an edge and the prints do not depend on where
+    the edges fall. Files of fewer than K symbols have no print. Symbols delivered twice
+    count once, those without id or file not at all.
     """
-    rows = once(symbols.select("id", "file_id", "kind", "name", "signature", "line_start", "col_start").where(F.col("file_id").isNotNull() & F.col("id").isNotNull()))
-    plain = F.lower(F.regexp_replace(F.concat_ws("\u0001", "kind", "name", "signature"), r"\s+", ""))
-    block = [F.expr(f"line_start div {BLOCK_LINES}").alias("_b"), F.expr(f"col_start div {BLOCK_COLUMNS}").alias("_c")]
-    t = rows.select("file_id", *block, "line_start", "col_start", "id", F.xxhash64(plain).alias("_t"))
-    w = Window.partitionBy("file_id", "_b", "_c").orderBy("line_start", "col_start", "id")
-    grams = t.withColumn("_last", F.lead("_t", K - 1).over(w)).withColumn("_g", F.xxhash64("_t", *[F.lead("_t", i).over(w) for i in range(1, K)]))
-    grams = grams.where(F.col("_last").isNotNull())
-    least = grams.select("file_id", F.min("_g").over(w.rowsBetween(0, WINDOW - 1)).alias("print"))
-    return least.distinct()
+    rows = symbols.select("id", "file_id", "kind", "name", "line_start", "col_start").where(F.col("file_id").isNotNull() & F.col("id").isNotNull())
+    token = F.xxhash64(F.concat_ws("\u0001", "kind", F.lower("name")))
+    block = [F.expr(f"coalesce(line_start, 0) div {BLOCK_LINES}").alias("_b"), F.expr(f"coalesce(col_start, 0) div {BLOCK_COLUMNS}").alias("_c")]
+    placed = F.struct("line_start", "col_start", "id", token.alias("t"))
+    blocks = rows.groupBy("file_id", *block).agg(F.transform(F.array_sort(F.collect_set(placed)), lambda x: x["t"]).alias("own"))
+    more = K + WINDOW - 2
+    ahead = Window.partitionBy("file_id").orderBy("_b", "_c").rowsBetween(1, more)
+    # Every block has a symbol, so that the next ``more`` blocks have enough between them.
+    follows = F.slice(F.flatten(F.collect_list(F.slice("own", 1, more)).over(ahead)), 1, more)
+    read = blocks.withColumn("follows", follows)
+
+    @F.pandas_udf("array<long>")
+    def prints(own: pd.Series, follows: pd.Series) -> pd.Series:
+        return pd.Series([winnow(np.concatenate([a, b]).astype(np.int64).view(np.uint64), len(a)).view(np.int64) for a, b in zip(own, follows)])
+
+    return read.select("file_id", F.explode(prints("own", "follows")).alias("print")).distinct()
 
 
 def copied_files(symbols: DataFrame, paths: DataFrame) -> DataFrame:
     """(file_id, n_prints, n_shared): files most of whose fingerprints recur in MIN_PROJECTS projects or more. paths: (file_id, path)."""
-    prints = fingerprints(symbols).join(paths.select("file_id", project(F.col("path")).alias("project")), "file_id")
+    prints = cut(fingerprints(symbols).join(paths.select("file_id", project(F.col("path")).alias("project")), "file_id"))
     spread = prints.select("print", "project").distinct().groupBy("print").agg(F.count("project").alias("n_projects")).where(F.col("n_projects") >= MIN_PROJECTS)
     shared = spread_join(prints.select("file_id", "print"), spread.select("print", F.lit(1).alias("_s")), ["print"], "left", ["file_id"])
     per = shared.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_prints"), F.count("_s").alias("n_shared"))
-    return per.where(F.col("n_shared") >= COPIED_SHARE * F.col("n_prints"))
+    return per.where((F.col("n_shared") >= COPIED_SHARE * F.col("n_prints")) & (F.col("n_prints") >= LEAST_PRINTS))
 
 
 def not_handwritten(files: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
-from codelode.llm.handwritten import not_handwritten
+import numpy as np
+
+from codelode.llm.handwritten import K, WINDOW, fingerprints, not_handwritten, winnow
 
 FILES = "id long, path string, hash string, indexed_at timestamp_ntz, reason string"
 SYMBOLS = "id long, name string, kind string, file_id long, line_start int, line_end int, col_start int, col_end int, signature string, docstring string, shape int"
@@ -50,3 +52,33 @@ def test_copies_across_projects(spark):
 
 def test_empty(spark):
     assert not_handwritten(spark.createDataFrame([], FILES), spark.createDataFrame([], SYMBOLS)).count() == 0
+
+
+def stream(n, file, lines, columns=None, names=None):
+    return [(n + i, (names or [f"fun{j}" for j in range(len(lines))])[i], "function", file, line, line, columns[i] if columns else 0, 9, "f()", None, 0) for i, line in enumerate(lines)]
+
+
+def test_prints_do_not_depend_on_block_edges(spark):
+    # The same symbols close together, far apart, below a licence header, and on one long line.
+    near, far, shifted = list(range(1, 61)), [1 + 100 * i for i in range(60)], [38 + 100 * i for i in range(60)]
+    symbols = stream(0, 1, near) + stream(100, 2, far) + stream(200, 3, shifted) + stream(300, 4, [1] * 60, [1000 * i for i in range(60)]) + stream(400, 5, [1, 5000, 9000]) + stream(500, 6, [1, 5000, 9000, 20000])
+    symbols += symbols[:20]
+    got = {}
+    for r in fingerprints(spark.createDataFrame(symbols, SYMBOLS)).collect():
+        got.setdefault(r["file_id"], set()).add(r["print"])
+    assert got[1] == got[2] == got[3] == got[4] and 5 not in got and len(got[6]) == 1
+
+
+def test_winnowing_guarantees_a_shared_print():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        common = rng.integers(1, 2**63, K + WINDOW - 1).astype(np.uint64)
+        a, b = (np.concatenate([rng.integers(1, 2**63, rng.integers(0, 30)).astype(np.uint64), common, rng.integers(1, 2**63, rng.integers(0, 30)).astype(np.uint64)]) for _ in range(2))
+        assert set(winnow(a, len(a))) & set(winnow(b, len(b)))
+
+
+def test_a_copy_below_a_licence_header_is_found(spark):
+    files = [(i, f"/srv/code/p{i}/src/f.py", "h", None, "x") for i in range(1, 5)]
+    symbols = [row for f in (1, 2, 3) for row in stream(1000 * f, f, [37 * (f - 1) + 50 * i + 1 for i in range(40)])] + stream(9000, 4, [50 * i for i in range(40)], names=[f"own{i}" for i in range(40)])
+    got = {(r["file_id"], r["reason"]) for r in not_handwritten(spark.createDataFrame(files, FILES), spark.createDataFrame(symbols, SYMBOLS)).collect()}
+    assert got == {(1, "copied"), (2, "copied"), (3, "copied")}
