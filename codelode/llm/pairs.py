@@ -24,7 +24,7 @@ GRAMMAR = r"""
       (?P<closing> [^\S\n]*+ (?: \*+/ | --> | \"{3} | '{3} ) )
     )
 """
-LINE = r"""(?: (?&opening)*+ [^\S\n]*+ (?P<line> (?: [^\s\x03*"'-]++ | (?! (?&closing)++ [^\S\n]*+ [\n\x03] ) [^\n\x03] )*+ ) (?&closing)*+ [^\S\n]*+ )"""
+LINE = r"""(?: (?: (?= \s*+ [/*"'\#;%<-] ) (?&opening) )*+ [^\S\n]*+ (?P<line> (?: [^\s\x03*"'-]++ | [ ] (?= [^\s\x03*"'-] ) | (?! (?&closing)++ [^\S\n]*+ [\n\x03] ) [^\n\x03] )*+ ) (?: (?= \s*+ [*"'-] ) (?&closing) )*+ [^\S\n]*+ )"""
 PAIR = regex.compile(
     r"(?msx)"
     + GRAMMAR
