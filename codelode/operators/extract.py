@@ -249,7 +249,7 @@ def _inner_docstrings(lines: DataFrame) -> DataFrame:
 
 
 def extract_symbols(lines: DataFrame) -> DataFrame:
-    """(file, lang, ordinal, name, kind, line_start, line_end, col_start, level, parent_ordinal, signature, is_exported, docstring)."""
+    """(file, lang, ordinal, name, kind, line_start, line_end, col_start, col_end, level, parent_ordinal, signature, is_exported, docstring)."""
     code = lines.where(~F.col("comment") & (F.trim("bare") != ""))
     strong = code.withColumn("d", _first_declaration(False)).where(F.col("d").isNotNull()).select("file", "lang", "line", "level", "after", "text", "bare", "d.kind", "d.name")
     spans = cut(_spans(strong, lines))
@@ -265,15 +265,16 @@ def extract_symbols(lines: DataFrame) -> DataFrame:
     kind = F.when((F.col("lang") == "python") & (F.col("kind") == "function") & (F.col("within.outer_kind") == "class"), "method").otherwise(F.col("kind"))
     signature = F.trim(F.regexp_replace("text", r"\s*[{:;]?\s*$", ""))
     docs = nested.join(_docstrings(lines), ["file", "line"], "left").join(_inner_docstrings(lines), ["file", "line"], "left")
+    docs = docs.join(lines.select("file", F.col("line").alias("line_end"), F.length(F.rtrim("text")).alias("col_end")), ["file", "line_end"], "left")
     doc = F.nullif(F.coalesce(F.nullif(F.col("inner"), F.lit("")), F.col("doc")), F.lit(""))
     return docs.select(
-        "file", "lang", "ordinal", "name", kind.alias("kind"), F.col("line").alias("line_start"), "line_end", F.length(F.regexp_extract("text", r"^\s*", 0)).alias("col_start"), "level",
+        "file", "lang", "ordinal", "name", kind.alias("kind"), F.col("line").alias("line_start"), "line_end", F.length(F.regexp_extract("text", r"^\s*", 0)).alias("col_start"), "col_end", "level",
         F.col("within.outer").alias("parent_ordinal"), signature.alias("signature"), _exported(~F.col("kind").isin("method", "property")).alias("is_exported"), doc.alias("docstring"),
     )
 
 
 def extract_references(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(file, from_ordinal, to_symbol_name, to_symbol_bare_name, kind, line): calls, instantiations, extensions and implementations inside symbols."""
+    """(file, from_ordinal, to_symbol_name, to_symbol_bare_name, kind, line, col): calls, instantiations, extensions and implementations inside symbols."""
     code = lines.where(~F.col("comment") & (F.trim("bare") != ""))
     own = symbols.select("file", F.col("line_start").alias("line"), F.col("name").alias("own"))
     names = F.regexp_extract_all("bare", F.lit(CALL), F.lit(1))
@@ -296,7 +297,9 @@ def extract_references(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     orphaned = F.when(F.col("kind") == "implements", F.col("_first"))
     firsts = symbols.groupBy("file").agg(F.min("ordinal").alias("_first"))
     placed = _enclosing(points, holders, strict=False).join(firsts, "file").withColumn("_from", F.coalesce("within.outer", orphaned)).where(F.col("_from").isNotNull())
-    return placed.select("file", F.col("_from").alias("from_ordinal"), F.col("to_name").alias("to_symbol_name"), F.substring_index("to_name", ".", -1).alias("to_symbol_bare_name"), "kind", "line")
+    texts = lines.select("file", "line", "text")
+    placed = placed.join(texts, ["file", "line"]).withColumn("col", F.greatest(F.expr("locate(to_name, text)") - 1, F.lit(0)))
+    return placed.select("file", F.col("_from").alias("from_ordinal"), F.col("to_name").alias("to_symbol_name"), F.substring_index("to_name", ".", -1).alias("to_symbol_bare_name"), "kind", "line", "col")
 
 
 def extract_imports(lines: DataFrame) -> DataFrame:

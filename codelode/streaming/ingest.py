@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codelode.operators.extract import EXTENSIONS, IGNORED
+from codelode.session import shared_folder
+from codelode.sources.index import Index
 
 EVENT = "event_id long, file_id long, path string, change_kind string, happened_at timestamp_ntz, arrived_at timestamp_ntz"
 
@@ -31,24 +32,20 @@ def latest_events(events: DataFrame) -> DataFrame:
 def run_to_end(stream: DataFrame, table: str, mode: str = "append") -> DataFrame:
     """Drive a stream through all that is there, with its state in the shared folder, and give what it wrote."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     token = spark.sql("SELECT uuid()").first()[0]
-    place = f"{base.rstrip('/')}/{table}-{token}"
+    place = f"{shared_folder(spark)}/{table}-{token}"
     query = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
 def watch_tree(spark: SparkSession, roots: list[str], apply: Callable[[DataFrame, int], None], state: str, **trigger) -> StreamingQuery:
-    """New and rewritten source files of a tree, batch by batch, to ``apply(batch, number)``.
+    """New source files of a tree, batch by batch, to ``apply(batch, number)``, such as that of an ``Index``.
 
     batch has file, content and modified; of a file seen twice in a batch the later one.
-    The file source never tells of deleted files: ``apply`` or a job beside it compares
-    listings and removes what is gone. One query per state folder runs at a time.
+    The file source tells of each path once, so neither of files rewritten in place nor of
+    deleted ones: ``watch_index`` compares listings for those. One query per state folder
+    runs at a time.
     """
     endings = ",".join(e[1:] for group in EXTENSIONS.values() for e in group)
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -65,3 +62,13 @@ def watch_tree(spark: SparkSession, roots: list[str], apply: Callable[[DataFrame
     for s in streams[1:]:
         both = both.unionByName(s)
     return both.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def watch_index(index: Index, roots: list[str], state: str, seconds: int = 1) -> StreamingQuery:
+    """Keep an index in step with its trees: every so many seconds new and rewritten files, told by their hash, are taken in and those that are gone removed."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        index.refresh(roots, prune=True)
+
+    ticks = index.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(processingTime=f"{seconds} seconds").start()
