@@ -87,7 +87,7 @@ def answer(g: Graph, question: str) -> DataFrame:
         "dependency_of": lambda: search.dependency_of(g, about),
         "dependents_of": lambda: closure.references_to(g, about, 2),
         "module_summary": lambda: search.module_summary(g, about),
-        "entry_points": lambda: search.entry_functions(g),
+        "entry_points": lambda: search.entry_points(g),
         "largest_files": lambda: search.largest_files(g),
         "symbol_search": lambda: search.find_symbols(g, about, limit=30),
     }

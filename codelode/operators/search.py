@@ -142,6 +142,12 @@ def entry_files(g: Graph, limit: int = 20) -> DataFrame:
     return g.files.where(F.col("path").rlike(r"(?i)/(" + "|".join(ENTRY_FILES) + r")\.")).select("path", "id").orderBy("path", "id").limit(limit)
 
 
+def entry_points(g: Graph) -> DataFrame:
+    """(name, kind, file, line_start, id): functions named like entry points, then files named so, under kind ``file`` and their path's last part."""
+    files = entry_files(g).select(F.substring_index("path", "/", -1).alias("name"), F.lit("file").alias("kind"), F.col("path").alias("file"), F.lit(1).alias("line_start"), "id")
+    return entry_functions(g).withColumn("_r", F.lit(0)).unionByName(files.withColumn("_r", F.lit(1))).orderBy("_r", "file", "line_start", "id").drop("_r")
+
+
 def largest_files(g: Graph, limit: int = 20) -> DataFrame:
     """Files by their number of symbols, those without any included."""
     counts = g.symbols.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from codelode.functions.paths import normalise
 from codelode.operators import architecture, closure, diffs, extract, impact, intent, maintenance, render, search
 from codelode.sources.graph import Graph
-from codelode.sources.tables import load
+from codelode.session import shared_folder
+from codelode.sources.index import Index
+from codelode.sources.tables import latest, load
 from codelode.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,7 +331,7 @@ def diff_lines(spark, folder):
 _AFFECTED = f""", {_LAST}, tails AS (SELECT path, unnest(list_distinct(list_append(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[i:], '/')), path))) AS tail FROM g_files),
  located AS (SELECT s.*, (SELECT min(t.path) FROM tails t WHERE t.tail = CASE s.status WHEN 'deleted' THEN s.old_file ELSE s.new_file END) AS file FROM sections s),
  affected AS (
-  SELECT a.diff_id, a.section, CASE a.status WHEN 'added' THEN 'added' ELSE 'removed' END AS change, p.id, p.name, p.kind, p.file, p.is_exported FROM located a JOIN placed p ON p.file = a.file WHERE a.status <> 'modified' QUALIFY row_number() OVER (PARTITION BY a.diff_id, a.section ORDER BY p.line_start, p.id) <= 100
+  SELECT a.diff_id, a.section, CASE a.status WHEN 'added' THEN 'added' ELSE 'removed' END AS change, p.id, p.name, p.kind, p.file, p.is_exported FROM located a JOIN placed p ON p.file = a.file WHERE a.status <> 'modified'
   UNION ALL SELECT a.diff_id, a.section, 'modified', p.id, p.name, p.kind, p.file, p.is_exported FROM located a JOIN placed p ON p.file = a.file WHERE a.status = 'modified' AND ((p.line_start <= a.line_max AND p.line_end >= a.line_min) OR len(list_filter(a.added || a.removed, lambda x: x BETWEEN p.line_start AND p.line_end)) > 0))"""
 
 
@@ -415,7 +418,17 @@ def mermaid_ids(g):
     return g.files.select("path", render.mermaid_id(F.col("path")).alias("node")).distinct()
 
 
-@query("SELECT DISTINCT r.id AS ref_id, coalesce(l.id, e.id) AS definition_id FROM g_refs r JOIN g_symbols o ON o.id = r.from_symbol_id LEFT JOIN (SELECT name, file_id, min(id) AS id FROM placed GROUP BY 1, 2) l ON l.name = regexp_extract(r.to_symbol_name, '[^.]*$') AND l.file_id = o.file_id LEFT JOIN (SELECT name, arg_min(id, (1 - is_exported, id)) AS id FROM placed GROUP BY 1) e ON e.name = regexp_extract(r.to_symbol_name, '[^.]*$')")
+# By name: in the same file, then what an import of that name leads to, then the exported or any symbol with the least id.
+_DEFINED = f"""{_RELATIVE}{_SUFFIXED}, leads AS (SELECT * FROM found UNION ALL SELECT * FROM by_name),
+ led AS (SELECT a.id AS file_id, l.source, b.id AS def_file FROM leads l JOIN g_files a ON a.path = l.file JOIN g_files b ON b.path = l.target),
+ bound AS (SELECT DISTINCT i.file_id, l.def_file, coalesce(nullif(i.local_name, ''), i.imported_name) AS name, i.imported_name FROM g_imports i JOIN led l ON l.file_id = i.file_id AND l.source = i.source_path),
+ asked AS (SELECT file_id, def_file, name, imported_name AS want, 0 AS rank FROM bound UNION ALL SELECT file_id, def_file, name, name, 1 FROM bound WHERE name <> imported_name),
+ imported AS (SELECT a.file_id, a.name, arg_min(s.id, (a.rank, 1 - s.is_exported, s.id)) AS id FROM asked a JOIN g_symbols s ON s.file_id = a.def_file AND s.name = a.want GROUP BY 1, 2),
+ local AS (SELECT name, file_id, min(id) AS id FROM g_symbols GROUP BY 1, 2), anywhere AS (SELECT name, arg_min(id, (1 - is_exported, id)) AS id FROM g_symbols GROUP BY 1),
+ wanted AS (SELECT DISTINCT r.id AS ref_id, regexp_extract(r.to_symbol_name, '[^.]*$') AS name, o.file_id FROM g_refs r JOIN g_symbols o ON o.id = r.from_symbol_id)"""
+
+
+@query(f"{_DEFINED} SELECT w.ref_id, coalesce(l.id, m.id, a.id) AS definition_id FROM wanted w LEFT JOIN local l ON l.name = w.name AND l.file_id = w.file_id LEFT JOIN imported m ON m.name = w.name AND m.file_id = w.file_id LEFT JOIN anywhere a ON a.name = w.name")
 def goto_definition_by_name(g):
     return search.definitions(g)
 
@@ -470,6 +483,26 @@ def replace_changed(spark, folder):
     return marked.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("_r").alias("n_replaced"), F.sum("line_start").alias("lines"))
 
 
+@query(f"""{_GONE}, left_files AS (SELECT * FROM g_files WHERE id NOT IN (SELECT id FROM gone)), left_symbols AS (SELECT * FROM g_symbols WHERE file_id IN (SELECT id FROM left_files))
+ SELECT 'files' AS relation, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM left_files UNION ALL SELECT 'symbols', count(*), CAST(sum(id) AS BIGINT) FROM left_symbols
+ UNION ALL SELECT 'references', count(*), CAST(sum(id) AS BIGINT) FROM g_refs WHERE from_symbol_id IN (SELECT id FROM left_symbols) UNION ALL SELECT 'imports', count(*), CAST(sum(id) AS BIGINT) FROM g_imports WHERE file_id IN (SELECT id FROM left_files)""", graph=False)
+def index_roundtrip(spark, folder):
+    """The index stored, the files that the watch log saw changed stored again, those it last saw unlinked removed, and what is then live read back."""
+    g = Graph.read(spark, folder)
+    owner = g.symbols_with("file_id").select(F.col("id").alias("from_symbol_id"), "file_id")
+    files = latest(load(spark, folder, "files"))
+    tables = {"files": files, "symbols": g.symbols, "references": g.references.join(owner, "from_symbol_id"), "imports": g.imports}
+    index = Index(spark, f"{shared_folder(spark)}/index-{spark.sql('SELECT uuid()').first()[0]}")
+    index.put(tables)
+    last = ingest.latest_events(load(spark, folder, "watch_log")).select("path", "change_kind")
+    touched = g.files.join(last, "path").select(F.col("id").alias("file_id"), "change_kind")
+    again = touched.where("change_kind = 'change'").select("file_id")
+    parts = {t: tables[t].join(again, "file_id", "left_semi") for t in ("symbols", "references", "imports")}
+    index.put({"files": files.join(again.withColumnRenamed("file_id", "id"), "id", "left_semi"), **parts})
+    index.remove(touched.where("change_kind = 'unlink'"))
+    return reduce(DataFrame.unionByName, [t.agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")).select(F.lit(r).alias("relation"), "n", "ids") for r, t in sorted(index.tables().items())])
+
+
 @query("SELECT id, name, kind, file_id, line_start FROM g_symbols QUALIFY row_number() OVER (PARTITION BY name, kind, file_id, line_start ORDER BY id) > 1")
 def unique_violation_rejects(g):
     return maintenance.unique_symbols(g.symbols).where("kept = 0").select("id", "name", "kind", "file_id", "line_start")
@@ -512,13 +545,22 @@ def intent_classify(spark, folder):
 
 # Extraction from the code in documents ---------------------------------------------
 
-#: Endings under which a text with code is read, by what its lines look like.
-LOOKS = [("go", ".go", r"(?m)^func \w+\("), ("rust", ".rs", r"(?m)^fn \w+\("), ("python", ".py", r"(?m)^def \w+\("), ("typescript", ".ts", r"(?m)^const \w+ = ")]
+#: Endings under which a text with code is read, by what the first line of some declaration in it looks like.
+LOOKS = [
+    ("go", ".go", r"(?m)^(func [\w(]|package \w+\s*$|type \w+ (struct|interface)\b)"),
+    ("rust", ".rs", r"(?m)^\s*(pub(\([^)]*\))? )?((async|unsafe|const) )*(fn \w+|trait \w+|impl\b.*\{|mod \w+|struct \w+[^;]*\{|use \w+::)"),
+    ("python", ".py", r"(?m)^\s*((async )?def \w+\(|class \w+(\([^)]*\))?:|from [\w.]+ import )"),
+    ("typescript", ".ts", r"(?m)^\s*(export )?(default )?((async )?function\b|class \w+[^:;]*\{|interface \w+|type \w+ ?=|enum \w+ \{|(const|let|var) [\w$]+ ?[:=])"),
+]
+
+
+def _look(lang: str) -> tuple[str, str]:
+    return next((e, p) for name, e, p in LOOKS if name == lang)
 
 
 def _code_of(spark: SparkSession, folder: str, lang: str) -> dict[str, DataFrame]:
     docs = load(spark, folder, "documents").where(F.col("text").isNotNull()).select("doc_id", "text").distinct()
-    ending, look = next((e, p) for name, e, p in LOOKS if name == lang)
+    ending, look = _look(lang)
     return extract.scan_sources(docs.where(F.col("text").rlike(look)).select(F.concat(F.col("doc_id").cast("string"), F.lit(ending)).alias("file"), F.col("text").alias("content")))
 
 
@@ -532,7 +574,7 @@ def _extractor(lang: str) -> None:
 for _lang, _, _ in LOOKS:
     _extractor(_lang)
 
-_LINES = r", src AS (SELECT DISTINCT doc_id, text FROM documents WHERE regexp_matches(text, '(?m)^func \w+\(')), ln AS (SELECT doc_id, unnest(string_split(regexp_replace(text, chr(13) || chr(10), chr(10), 'g'), chr(10))) AS t FROM src)"
+_LINES = rf", src AS (SELECT DISTINCT doc_id, text FROM documents WHERE regexp_matches(text, '{_look('go')[1]}')), ln AS (SELECT doc_id, unnest(string_split(regexp_replace(text, chr(13) || chr(10), chr(10), 'g'), chr(10))) AS t FROM src)"
 
 
 @query(rf"{_LINES} SELECT concat(doc_id, '.go') AS file, regexp_extract(t, '^func (\w+)', 1) AS name, count(*) AS n FROM ln WHERE regexp_matches(t, '^func \w+') GROUP BY 1, 2", graph=False)
@@ -560,7 +602,7 @@ def stream_events_once(spark, folder):
     """Events by kind, each counted once however often it was delivered, read as a stream."""
     schema = load(spark, folder, "watch_log").schema.simpleString()[7:-1].replace(":", " ")
     events = ingest.event_stream(spark, f"{folder}/watch_log.parquet", schema)
-    written = ingest.run_to_end(events.select("event_id", "change_kind"), "events")
+    written = ingest.run_to_end(events.select("event_id", "change_kind"), "events", "event_id")
     return written.groupBy("change_kind").agg(F.countDistinct("event_id").alias("n"))
 
 
@@ -569,7 +611,7 @@ def stream_delete_tombstones(spark, folder):
     """Paths whose last event is their removal, from the stream of events."""
     schema = load(spark, folder, "watch_log").schema.simpleString()[7:-1].replace(":", " ")
     events = ingest.event_stream(spark, f"{folder}/watch_log.parquet", schema)
-    written = ingest.run_to_end(events.select("event_id", "file_id", "path", "change_kind", "happened_at"), "tombstones")
+    written = ingest.run_to_end(events.select("event_id", "file_id", "path", "change_kind", "happened_at"), "tombstones", "event_id")
     return ingest.latest_events(written).where("change_kind = 'unlink'").select("path", "change_kind")
 
 

@@ -6,6 +6,7 @@ import json
 import os
 import re
 import subprocess
+import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -14,11 +15,10 @@ from pyspark.sql import functions as F
 
 from codelode.operators.extract import EXTENSIONS, IGNORED, scan_sources
 from codelode.operators.maintenance import content_hash
+from codelode.session import shared_folder
 
 #: A project's own file, looked for in a folder and those above it.
 CONFIG_NAME = ".codelode.json"
-#: The most of a diff that is read.
-DIFF_BYTES = 10_000_000
 
 
 @dataclass
@@ -112,12 +112,23 @@ def index_tree(spark: SparkSession, roots: list[str], known: DataFrame | None =
 
 
 def git_diff(spark: SparkSession, folder: str, ref: str = "unstaged") -> DataFrame:
-    """(diff_id, diff_text) of a work tree: ``staged``, ``unstaged`` or against a ref. Run on the driver with an argument list, never by a shell."""
+    """(diff_id, diff_text) of a work tree: ``staged``, ``unstaged`` or against a ref; a row per file, of any length and number.
+
+    Git runs on the driver with an argument list, never by a shell, and writes to the
+    shared folder, from which Spark reads. diff_id is the ref and the file's old path.
+    """
     if ref in ("staged", "unstaged"):
         args = ["--staged"] if ref == "staged" else []
     else:
         if not re.fullmatch(r"[\w.~^@/{}][\w.~^@/{}-]*", ref):
             raise ValueError(f"not a git ref: {ref}")
         args = [ref]
-    out = subprocess.run(["git", "-C", folder, "diff", *args, "--"], capture_output=True, check=True).stdout[:DIFF_BYTES]
-    return spark.createDataFrame([(ref, out.decode("utf-8", "replace"))], "diff_id string, diff_text string")
+    place = f"{shared_folder(spark)}/diff-{uuid.uuid4().hex}"
+    os.makedirs(place)
+    with open(f"{place}/diff.txt", "wb") as out:
+        subprocess.run(["git", "-C", folder, "diff", *args, "--"], stdout=out, check=True)
+    # Cut into sections as Spark reads it, so that neither the driver nor one row holds the whole.
+    raw = spark.read.option("lineSep", "\ndiff --git ").text(f"{place}/diff.txt").where(F.col("value") != "")
+    head = F.when(F.col("value").startswith("diff --git "), F.col("value")).otherwise(F.concat(F.lit("diff --git "), F.col("value")))
+    new = F.regexp_extract(head, r"^diff --git a/(.*) b/", 1)
+    return raw.select(F.concat(F.lit(f"{ref}:"), new).alias("diff_id"), head.alias("diff_text"))

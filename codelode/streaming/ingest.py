@@ -16,11 +16,9 @@ EVENT = "event_id long, file_id long, path string, change_kind string, happened_
 
 
 def event_stream(spark: SparkSession, folder: str, schema: str = EVENT, files_per_trigger: int = 100) -> DataFrame:
-    """File events from the parquet files of a folder, or one file, as they arrive; an event delivered again within the watermark is dropped."""
+    """File events from the parquet files of a folder, or one file, as they arrive. Events come late and twice; the sink drops repeats by their id, so that no watermark drops the late ones."""
     # As a pattern, the path may be of one file, which the file source otherwise refuses.
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder[:-1]}[{folder[-1]}]")
-    timed = raw.withColumn("happened", F.col("happened_at").cast("timestamp"))
-    return timed.withWatermark("happened", "30 days").dropDuplicatesWithinWatermark(["event_id"])
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder[:-1]}[{folder[-1]}]")
 
 
 def latest_events(events: DataFrame) -> DataFrame:
@@ -29,14 +27,30 @@ def latest_events(events: DataFrame) -> DataFrame:
     return events.groupBy("path").agg(F.max("file_id").alias("file_id"), last.alias("e")).select("path", "file_id", "e.change_kind", "e.happened_at")
 
 
-def run_to_end(stream: DataFrame, table: str, mode: str = "append") -> DataFrame:
-    """Drive a stream through all that is there, with its state in the shared folder, and give what it wrote."""
+def run_to_end(stream: DataFrame, table: str, key: str | None = None, place: str | None = None) -> DataFrame:
+    """Drive a stream through all that is there, with its state in the shared folder, and give what it wrote.
+
+    With ``key`` a row is written only if no batch before it wrote its key, and once per
+    batch; how late it comes does not matter. Run again with the same ``place``, the stream
+    goes on where it ended. Batches are folders of their number, so one that is run again
+    after a failure replaces what it left.
+    """
     spark = stream.sparkSession
-    token = spark.sql("SELECT uuid()").first()[0]
-    place = f"{shared_folder(spark)}/{table}-{token}"
-    query = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode(mode).trigger(availableNow=True).start()
+    place = place or f"{shared_folder(spark)}/{table}-{spark.sql('SELECT uuid()').first()[0]}"
+
+    def written() -> DataFrame:
+        return spark.read.schema(f"{stream.schema.simpleString()[7:-1].replace(':', ' ')}, batch int").option("basePath", f"{place}/out").parquet(f"{place}/out/*")
+
+    def each(rows: DataFrame, number: int) -> None:
+        if key:
+            rows = rows.dropDuplicates([key])
+            if number:
+                rows = rows.join(written().where(F.col("batch") < number).select(key), key, "left_anti")
+        rows.select(*stream.columns).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+    return written().drop("batch")
 
 
 def watch_tree(spark: SparkSession, roots: list[str], apply: Callable[[DataFrame, int], None], state: str, **trigger) -> StreamingQuery:
