@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from codelode.session import cut, spread_out
 
-#: The tokenizer's vocabulary as ranks; the pattern below is the one it was published with.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The tokenizer's vocabulary as ranks, a path that every executor can read; the session's
+#: setting of this name comes first. The pattern below is the one it was published with.
+SETTING, VOCABULARY = "spark.codelode.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern of that vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encoders: dict[str, object] = {}
@@ -38,9 +39,11 @@ def source_name(c: Column) -> Column:
     return F.when(plain != "", plain)
 
 
-def token_counts(documents: DataFrame, doc_id: str, source: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(documents: DataFrame, doc_id: str, source: str, text: str, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, source, tokens) over whole texts, one row per document id; a null text has no tokens."""
 
+    vocabulary = vocabulary or documents.sparkSession.conf.get(SETTING, VOCABULARY)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(vocabulary).encode_ordinary
         for batch in batches:
@@ -118,7 +121,7 @@ def _thresholds(scored: DataFrame, plan: pd.DataFrame) -> pd.Series:
     return low
 
 
-def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", total_tokens: float | None = None, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", total_tokens: float | None = None, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(uses, report): how often each document is used, and the shares that this reaches.
 
     uses: doc_id, source, tokens, copies; one row per document id, 0 copies where its
