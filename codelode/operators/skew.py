@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -21,20 +21,18 @@ def parts(spark: SparkSession) -> int:
 def heavy_keys(df: DataFrame, keys: list[str], share: float | None = None) -> DataFrame | None:
     """(keys..., _salts): the keys with at least ``share`` of df's rows, and into how many parts to cut each; None if there are none.
 
-    The count is exact, combined before its shuffle, and made with the total in one pass
-    over df. At most 1/share keys can be heavy, whatever the data, so no more than the so
-    many most frequent ones reach the driver, and the result may be broadcast. By default
-    the share is that of one of ``parts`` parts.
+    The counts are exact and combined before their shuffle. At most 1/share keys can be
+    heavy, whatever the data, so no more than so many rows reach the driver, and the
+    result may be broadcast. By default the share is that of one of ``parts`` parts.
     """
     spark = df.sparkSession
     share = share or 1 / parts(spark)
-    seen = Observation()
-    counted = df.select(*keys).observe(seen, F.count(F.lit(1)).alias("rows")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    top = counted.where("_n > 1").orderBy(F.desc("_n")).limit(math.ceil(1 / share)).collect()
-    least = max(2.0, seen.get["rows"] * share) if top else 0
-    rows = [(*[r[k] for k in keys], math.ceil(r["_n"] / least)) for r in top if r["_n"] >= least]
+    rows = df.select(*keys)
+    least = max(2.0, rows.count() * share)
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    found = [(*[r[k] for k in keys], math.ceil(r["_n"] / least)) for r in counted.collect()]
     schema = StructType([*[counted.schema[k] for k in keys], StructField("_salts", IntegerType())])
-    return spark.createDataFrame(rows, schema) if rows else None
+    return spark.createDataFrame(found, schema) if found else None
 
 
 def heavy_counted(counted: DataFrame, keys: list[str], n: str, share: float | None = None) -> DataFrame | None:
@@ -110,8 +108,8 @@ def spread_join(
 
     Heavy keys' rows on the left are salted by the hash of ``spread`` and only those keys'
     rows on the right are repeated, once per salt. Null keys match nothing. ``how`` is
-    inner, left, left_semi or left_anti. The left side runs twice, to find its heavy keys
-    and to be joined, the right side once; where its heavy keys are handed in, as a tuple
+    inner, left, left_semi or left_anti. The left side is counted, grouped by key and
+    joined, the right side runs once; where its heavy keys are handed in, as a tuple
     of that one table, both run once. So a left side that is costly to make should be cut,
     or its heavy keys be known.
     """
