@@ -1,6 +1,8 @@
+from collections import Counter
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from codelode.operators import architecture, closure, diffs, impact, intent, maintenance, render, search
 from codelode.sources.graph import Graph
@@ -73,6 +75,28 @@ def test_reference_closure_counts_paths(g, root, depth):
     assert sorted((r["depth"], r["ref_id"]) for r in got for _ in range(r["paths"])) == chains(g, root, depth)
 
 
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_path_counts_of_many_roots(g, spark, depth):
+    """With a reference that meets a name in another case, and one that would meet it as bare name and before the dot."""
+    roots = ["log", "LOG", "loop", "processOrder", "Data", "nothing", "util", None]
+    got = closure.path_counts(g, spark.createDataFrame([(r,) for r in roots], "root string"), depth).collect()
+    want = Counter((r, d) for r in roots if r for d, _ in chains(g, r, depth))
+    assert {(r["root"], r["depth"]): r["n_paths"] for r in got} == want
+
+
+def test_path_counts_keep_no_row_per_root_and_reference(spark, monkeypatch):
+    """200 names that each of 20 symbols calls, which are called in turn: no level is written."""
+    files = [(1, "a.ts", "h", AT)]
+    symbols = [sym(i, f"n{i}", "interface", 1, i, i) for i in range(200)] + [sym(200 + i, f"c{i}", "function", 1, 300 + i, 300 + i) for i in range(20)]
+    refs = [ref(1000 * (200 + i) + j, 200 + i, f"n{j}") for i in range(20) for j in range(200)] + [ref(j, 200 + j % 20, f"c{j % 7}") for j in range(200)]
+    g = Graph(spark.createDataFrame(files, FILES), spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(refs, REFS), spark.createDataFrame([], IMPORTS))
+    monkeypatch.setattr(closure, "cut", lambda df: pytest.fail("a level was written"))
+    monkeypatch.setattr(closure, "cut_counted", closure.cut)
+    rows = closure.path_counts(g, g.symbols.where("kind = 'interface'").select(F.col("name").alias("root")), 2).collect()
+    second = sum(1 for i in range(20) for j in range(200) if j % 7 == i)
+    assert sorted((r["root"], r["depth"], r["n_paths"]) for r in rows) == sorted((f"n{j}", d, n) for j in range(200) for d, n in ((1, 20), (2, second)))
+
+
 def test_limit_cuts_paths(g):
     rows = closure.references_to(g, "loop", 10, limit=4).collect()
     assert [r["depth"] for r in rows] == [1, 2, 3, 4]
