@@ -166,6 +166,36 @@ def test_whole_files_give_all_symbols(spark):
     assert sorted(r["name"] for r in rows if r["risk"] == "breaking") == ["f1_1", "g1_30"]
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_direct_counts_leave_out_a_symbols_own_references(spark, many):
+    """Two files of one path, one without a path, names with a dot and in two cases, references within the symbol itself."""
+    files = [(1, "a.ts", "h", AT), (2, "a.ts", "h", AT), (3, "b.ts", "h", AT), (4, None, "h", AT)]
+    symbols = [sym(1, "run", "function", 1, 1, 9), sym(2, "run", "function", 2, 1, 9), sym(3, "run", "function", 3, 1, 9), sym(4, "Run", "class", 3, 10, 19), sym(5, "a.b", "function", 3, 20, 29), sym(6, "run", "function", 4, 1, 9), sym(7, "go", "function", 4, 10, 19), sym(8, None, "function", 3, 30, 39), sym(1, "run", "function", 1, 1, 9)]
+    callees = ["run", "Run.run", "run.x.y", "a.b", "A.b.c", "x.RUN", "run.Run", "other"]
+    refs = [(10 * s + i, s, c, None if (s + i) % 7 == 0 else "" if (s + i) % 7 == 1 else c.rsplit(".", 1)[-1], None, "call", 1, 0) for s in range(1, 9) for i, c in enumerate(callees)]
+    g = Graph(spark.createDataFrame(files, FILES), spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(refs + refs[:9], REFS), spark.createDataFrame([], IMPORTS))
+    paths, owner = {f: p for f, p, *_ in files}, {s[0]: s for s in symbols}
+    changed = [(s[0], s[1], paths[s[3]]) for s in owner.values() if paths[s[3]]]
+    want = {}
+    for i, name, file in changed:
+        met = [r for r in refs if name and (name in (r[2], r[3]) or r[2].lower().startswith(name.lower() + "."))]
+        met = [paths[owner[r[1]][3]] for r in met if owner[r[1]][1] not in (name, None) or paths[owner[r[1]][3]] not in (file, None)]
+        want[i] = (len(met), len({f for f in met if f}))
+    rows = impact.with_direct_counts(g, spark.createDataFrame(changed, "id long, name string, file string"), many).collect()
+    assert {r["id"]: (r["total"], r["n_files"]) for r in rows} == want and len(rows) == len(changed)
+
+
+def test_impact_of_common_names_meets_no_pairs(spark, monkeypatch):
+    """300 symbols of one name, referred to from 300 files: no row per symbol and reference is made."""
+    monkeypatch.setattr(impact, "reference_closure", lambda *_: pytest.fail("references were listed per symbol"))
+    files = [(i, f"f{i}.ts", "h", AT) for i in range(300)]
+    symbols = [sym(i, "run", "function", i, 1, 9) for i in range(300)]
+    g = Graph(spark.createDataFrame(files, FILES), spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame([ref(i, i, "run") for i in range(300)], REFS), spark.createDataFrame([], IMPORTS))
+    affected = g.placed.select(F.lit("d").alias("diff_id"), F.lit(1).alias("section"), F.lit("removed").alias("change"), "id", "name", "kind", "file", "is_exported")
+    rows = diffs.diff_impact(g, affected, 1).collect()
+    assert {(r["direct"], r["total"], r["n_files"], r["risk"]) for r in rows} == {(299, 299, 299, "breaking")} and len(rows) == 300
+
+
 def test_definitions_follow_imports(spark):
     files = [(i, f"src/{p}.ts", "h", AT) for i, p in enumerate(["any", "near", "user", "other"], 1)]
     symbols = [
